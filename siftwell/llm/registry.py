@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from siftwell.llm import simhash, urlfilter
+from siftwell.llm import quality, simhash, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 #: Queries not listed here have no SQL form that is exact on whole tables; their tests compare
 #: them with brute force, round trips or held-out accuracy.
-ORACLE_SQL = {"op1_url_filter": urlfilter.OP1_SQL}
+ORACLE_SQL = {"op1_url_filter": urlfilter.OP1_SQL, "op9_quality_rules": quality.OP9_SQL}
