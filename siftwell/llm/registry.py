@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from siftwell.llm import quality, secrets, simhash, urlfilter
+from siftwell.llm import packing, quality, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
+    "op6_packing": packing.op6_packing,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
 }

@@ -12,13 +12,17 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: Chunks kept per worker before the cache starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_500_000
 #: Longer texts are taken in segments of about so many characters, cut where a chunk starts.
 SEGMENT_CHARS = 1 << 20
 
 _UNSAFE = re.compile(r"\s \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A first chunk has no space before it; this mark, which no chunk can start with, tells it apart.
+_HEAD = " "
 
 
 class ChunkEncoder:
@@ -32,34 +36,78 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = self.tokenizer.normalizer is not None
-        self.heads: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
+        vocabulary = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
+        # what a token adds to its chunk: a finished pre-token, or its bytes
+        self.adds = np.zeros(vocabulary[-1][1] + 1, np.int64)
+        for token, i in vocabulary:
+            self.adds[i] = token.endswith("</w>") if self.drops_space else len(token)
+        self.stops = dict(zip(".,", self.whole([".", ","])))
+        self.cache: dict[str, bytes] = {}
+        self.odd = False
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts encoded as they are."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], prefix: str) -> None:
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        missing = list(wanted.difference(cache))
-        cache.update(zip(missing, self._whole([prefix + c for c in missing])))
+    def _weight(self, chunk: str) -> int:
+        """What the chunk's tokens add up to; 0 if it has to be encoded by itself."""
+        if not self.drops_space:
+            return 0 if not chunk or chunk[0].isspace() else len(chunk.encode()) + 1
+        plain = chunk.isascii() or (max(chunk) < "\u0250" and "\u0130" not in chunk)
+        return 1 if plain and chunk.isalpha() else 0
+
+    def _joined(self, chunks: list[str], weights: list[int]) -> list[bytes]:
+        """Ids of chunks from one encoding of many, told apart by their weights."""
+        if not chunks:
+            return []
+        raw = b"".join(self.whole([" " + " ".join(chunks[i : i + 2048]) for i in range(0, len(chunks), 2048)]))
+        sums = np.cumsum(self.adds[np.frombuffer(raw, np.uint32)])
+        cuts = np.searchsorted(sums, np.cumsum(weights)) + 1
+        if cuts[-1] != len(sums):
+            raise ValueError("the vocabulary does not keep chunks apart")
+        cuts = [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Encode new chunks; one that ends in a stop after a letter takes the ids of its word."""
+        cache, stops = self.cache, self.stops
+        if not self.drops_space and not self.odd:
+            self.odd = any(not c or c[0].isspace() and c[0] != _HEAD for c in missing)
+        stopped = [c for c in missing if c[-1:] in stops and c[-2:-1].isalpha() and c[0] != _HEAD]
+        plain = missing.difference(stopped)
+        plain.update(c[:-1] for c in stopped if c[:-1] not in cache)
+        heads = [c for c in plain if c[:1] == _HEAD]
+        plain.difference_update(heads)
+        weights = {c: self._weight(c) for c in plain}
+        alone = [c for c, w in weights.items() if not w]
+        joined = [c for c, w in weights.items() if w]
+        cache.update(zip(heads, self.whole([c[1:] for c in heads])))
+        cache.update(zip(alone, self.whole([c if self.drops_space else " " + c for c in alone])))
+        cache.update(zip(joined, self._joined(joined, [weights[c] for c in joined])))
+        cache.update((c, cache[c[:-1]] + stops[c[-1]]) for c in stopped)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        first = [s[0] for s in split] if not self.drops_space else []
-        if not self.drops_space:
-            self._learn(self.heads, set(first), "")
-            split = [s[1:] for s in split]
-        distinct = set().union(*split)
-        self._learn(self.chunks, distinct, "" if self.drops_space else " ")
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if not self.drops_space:
-            out = [self.heads[f] + o for f, o in zip(first, out)]
-            if any(not c or c[0].isspace() for c in distinct):
-                unsafe = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
-                for i, ids in zip(unsafe, self._whole([texts[i] for i in unsafe])):
-                    out[i] = ids
+        if len(self.cache) > CACHE_CHUNKS:
+            self.cache.clear()
+        flat: list[str] = []
+        ends = [0]
+        for text in texts:
+            chunks = text.split(" ")
+            if not self.drops_space:
+                chunks[0] = _HEAD + chunks[0]
+            flat += chunks
+            ends.append(len(flat))
+        ids = list(map(self.cache.get, flat))
+        new = [i for i, v in enumerate(ids) if v is None]
+        if new:
+            self._learn({flat[i] for i in new})
+            for i in new:
+                ids[i] = self.cache[flat[i]]
+        out = [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+        if self.odd:
+            unsafe = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
+            for i, whole in zip(unsafe, self.whole([texts[i] for i in unsafe])):
+                out[i] = whole
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -69,13 +117,14 @@ class ChunkEncoder:
         for text in texts:
             parts, start = [], 0
             while len(text) - start > SEGMENT_CHARS and (m := _CUT.search(text, start + SEGMENT_CHARS)):
-                parts += self._rest(text[start : m.start()], start > 0)
+                parts.append(self._segment(text[start : m.start()], start > 0))
                 start = m.start() + 1
-            out.append(b"".join([*parts, *self._rest(text[start:], start > 0)]))
+            parts.append(self._segment(text[start:], start > 0))
+            out.append(b"".join(parts))
         return out
 
-    def _rest(self, segment: str, inner: bool) -> list[bytes]:
-        return self._encode([" " + segment]) if inner and not self.drops_space else self._encode([segment])
+    def _segment(self, segment: str, inner: bool) -> bytes:
+        return self._encode([" " + segment if inner and not self.drops_space else segment])[0]
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -1,0 +1,100 @@
+import random
+import zlib
+from collections import defaultdict
+from itertools import product
+
+import numpy as np
+from tokenizers import Tokenizer
+
+from siftwell.llm import packing, tokenids
+
+BYTES = tokenids.default_path("byte_bpe_50k.json")
+WORDS = tokenids.default_path("word_bpe_49k.json")
+ODD = [
+    "", "  ", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "a\n\n b", "  x", "x   y", "It's  <|endoftext|> ok", "é é e ́", "Σας ΟΔΟΣ.",
+    "a\tb \t c", "1 2  34", "\x1c a \x1c b", "x., y,. .z ,. ab. ab, Ab. İa. a1. a", "word.\nNext word.\n\n Next",
+]
+
+
+def plain(path, texts):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_chunked_encoding_equals_the_library(monkeypatch):
+    rng = random.Random(1)
+    texts = ODD + ["".join(rng.choices([" ", "\n", "a", "Bc", "é", "'s", ".", "9", ", ", "\x85", "。", "ß"], k=rng.randrange(40))) for _ in range(3000)]
+    for path in (BYTES, WORDS):
+        encoder = tokenids.ChunkEncoder(path)
+        assert encoder.encode(texts) == plain(path, texts)
+        assert encoder.encode(list(reversed(texts))) == plain(path, list(reversed(texts)))
+        long = " ".join(t for t in texts if "  " not in t and t.strip())
+        monkeypatch.setattr(tokenids, "SEGMENT_CHARS", 300)
+        assert encoder.encode([long, "a"]) == plain(path, [long, "a"])
+        monkeypatch.undo()
+
+
+def test_best_fill_is_optimal():
+    rng = random.Random(2)
+    for _ in range(300):
+        counts = {rng.randrange(1, 30): rng.randrange(0, 4) for _ in range(5)}
+        capacity = rng.randrange(1, 60)
+        used = packing.best_fill(sorted(counts), counts, capacity)
+        sums = [sum(k * n for k, n in zip(counts, ns)) for ns in product(*(range(c + 1) for c in counts.values()))]
+        assert sum(k * n for k, n in used.items()) == max(s for s in sums if s <= capacity)
+        assert all(n <= counts[k] for k, n in used.items())
+
+
+def check(rows, tokens, capacity=2048):
+    """Every id in exactly one piece, sequences gapless, full or a power of two."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for doc, start, length, sequence, offset in rows:
+        by_doc[doc].append((start, length))
+        by_sequence[sequence].append((offset, length))
+    assert set(by_doc) == set(tokens)
+    for doc, pieces in by_doc.items():
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at and length > 0
+            at += length
+        assert at == tokens[doc]
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == capacity or at < capacity and at & (at - 1) == 0
+    return len(by_sequence)
+
+
+def test_packer_places_every_token_once_and_pads_nothing():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 50, 900):
+        tokens = {i: rng.choice([1, 2, 3, rng.randrange(1, 300), rng.randrange(1, 9000), 2048, 1500]) for i in range(n)}
+        packer, rows = packing.Packer(), []
+        for doc, length in tokens.items():
+            packer.add(doc, length)
+            if doc % 100 == 99:
+                rows += packer.pack(False)
+        rows += packer.pack(True)
+        check([r[:5] for r in rows], tokens)
+    whole = sum(1 for _, start, *_ in rows if start == 0)
+    assert whole > 0.9 * n  # few documents are cut other than by their length
+
+
+def test_query_equals_the_library(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = packing.op6_packing(spark, "/root/testdata/sf0.001").collect()
+    ids = dict(zip(docs, (x + b"\1\0\0\0" for x in plain(BYTES, list(docs.values())))))
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) and r.doc_tokens * 4 == len(ids[r.doc_id])
+    check([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows], {d: len(x) // 4 for d, x in ids.items()})
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 5), (None, "a b", 5), (2, "", 5), (2, "", 5), (3, "x " * 9000, 5)], "doc_id long, text string, start int").repartition(2)
+    rows = packing.pack(docs, BYTES, window_tokens=50).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0) == [(0, 3), (1, 1), (2, 1), (2, 1), (3, 9002)]
+    assert sum(r.length for r in rows) == 3 + 1 + 1 + 1 + 9002 and all(len(r.ids) == 4 * r.length for r in rows)
+    assert packing.pack(docs.limit(0), BYTES).count() == 0
