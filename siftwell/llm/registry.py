@@ -1,15 +1,17 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from siftwell.llm import packing, quality, secrets, simhash, urlfilter
+from siftwell.llm import packing, quality, secrets, simhash, tokenfile, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
+    "op3_warc": warc.op3_warc,
     "op6_packing": packing.op6_packing,
+    "op7_token_file": tokenfile.op7_token_file,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
 #: Queries not listed here have no SQL form that is exact on whole tables; their tests compare
 #: them with brute force, round trips or held-out accuracy.
-ORACLE_SQL = {"op1_url_filter": urlfilter.OP1_SQL, "op9_quality_rules": quality.OP9_SQL}
+ORACLE_SQL = {"op1_url_filter": urlfilter.OP1_SQL, "op3_warc": warc.OP3_SQL, "op9_quality_rules": quality.OP9_SQL}
