@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import compress
 
 import numpy as np
 
@@ -49,12 +50,11 @@ class ChunkEncoder:
         """Ids of texts encoded as they are."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _weight(self, chunk: str) -> int:
-        """What the chunk's tokens add up to; 0 if it has to be encoded by itself."""
-        if not self.drops_space:
-            return 0 if not chunk or chunk[0].isspace() else len(chunk.encode()) + 1
-        plain = chunk.isascii() or (max(chunk) < "\u0250" and "\u0130" not in chunk)
-        return 1 if plain and chunk.isalpha() else 0
+    def _weights(self, chunks: list[str]) -> list[int]:
+        """What each chunk's tokens add up to; 0 if it has to be encoded by itself."""
+        if not self.drops_space:  # the space before it, and its bytes
+            return [len(b) + 1 if b and not c[0].isspace() else 0 for c, b in zip(chunks, map(str.encode, chunks))]
+        return [1 if c.isalpha() and (c.isascii() or max(c) < "\u0250" and "\u0130" not in c) else 0 for c in chunks]
 
     def _joined(self, chunks: list[str], weights: list[int]) -> list[bytes]:
         """Ids of chunks from one encoding of many, told apart by their weights."""
@@ -71,20 +71,20 @@ class ChunkEncoder:
     def _learn(self, missing: set[str]) -> None:
         """Encode new chunks; one that ends in a stop after a letter takes the ids of its word."""
         cache, stops = self.cache, self.stops
-        if not self.drops_space and not self.odd:
-            self.odd = any(not c or c[0].isspace() and c[0] != _HEAD for c in missing)
         stopped = [c for c in missing if c[-1:] in stops and c[-2:-1].isalpha() and c[0] != _HEAD]
-        plain = missing.difference(stopped)
-        plain.update(c[:-1] for c in stopped if c[:-1] not in cache)
-        heads = [c for c in plain if c[:1] == _HEAD]
-        plain.difference_update(heads)
-        weights = {c: self._weight(c) for c in plain}
-        alone = [c for c, w in weights.items() if not w]
-        joined = [c for c, w in weights.items() if w]
+        missing.difference_update(stopped)
+        missing.update([c for c in [c[:-1] for c in stopped] if c not in cache])
+        heads = [] if self.drops_space else [c for c in missing if c[:1] == _HEAD]
+        plain = list(missing.difference(heads))
+        weights = self._weights(plain)
+        alone = [c for c, w in zip(plain, weights) if not w]
+        joined = list(compress(plain, weights)) if alone else plain
+        if alone and not self.drops_space:
+            self.odd = True
         cache.update(zip(heads, self.whole([c[1:] for c in heads])))
         cache.update(zip(alone, self.whole([c if self.drops_space else " " + c for c in alone])))
-        cache.update(zip(joined, self._joined(joined, [weights[c] for c in joined])))
-        cache.update((c, cache[c[:-1]] + stops[c[-1]]) for c in stopped)
+        cache.update(zip(joined, self._joined(joined, [w for w in weights if w])))
+        cache.update([(c, cache[c[:-1]] + stops[c[-1]]) for c in stopped])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_CHUNKS:
