@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from siftwell.llm import decontaminate, packing, quality, secrets, simhash, tokenfile, urlfilter, warc
+from siftwell.llm import decontaminate, packing, quality, secrets, simhash, substrings, tokenfile, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_token_file": tokenfile.op7_token_file,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 #: Queries not listed here have no SQL form that is exact on whole tables; their tests compare
