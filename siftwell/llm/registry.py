@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from siftwell.llm import decontaminate, packing, quality, secrets, simhash, substrings, tokenfile, urlfilter, warc
+from siftwell.llm import decontaminate, langid, packing, quality, secrets, simhash, substrings, tokenfile, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op7_token_file": tokenfile.op7_token_file,
     "op8_secret_scan": secrets.op8_secret_scan,

@@ -46,10 +46,10 @@ def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) ->
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(array: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(array: np.ndarray, ends: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start and end byte of every word, each text's first word number with the total at the end)."""
     inside = np.zeros(len(array) + 1, bool)
-    np.logical_not(IS_SPACE[array], out=inside[:-1])
+    np.logical_not(is_space[array], out=inside[:-1])
     before = np.zeros(len(array) + 1, bool)
     before[1:] = inside[:-1]
     fresh = np.zeros(len(array) + 1, bool)
