@@ -74,15 +74,15 @@ def _covered(windows: Column, width: int) -> Column:
     )
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, the measurements) of every row; reads doc_id and text alone."""
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, text) with text replaced by the measurements."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.array_remove(F.split("text", SPACES), "").alias("w"))
+    step = rows.select("row", text.alias("text")).select("row", "text", F.array_remove(F.split("text", SPACES), "").alias("w"))
     n = F.size("w")
     windows = F.transform(F.arrays_zip(F.slice("w", 1, n - 2), F.slice("w", 2, n - 2), F.slice("w", 3, n - 2)), lambda z: F.xxhash64(z["0"], z["1"], z["2"]))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NOT_SPACE))
     step = step.select(
-        "doc_id",
+        "row",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -90,7 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
     return step.select(
-        "doc_id",
+        "row",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -100,16 +100,25 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_bits(measured: DataFrame) -> DataFrame:
+    bits = F.lit(0).cast("long")
+    for rule in RULES:
+        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return measured.withColumn("failure_bits", bits)
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, the measurements) of every row; reads doc_id and text alone."""
+    return _measured(docs.select(F.col("doc_id").alias("row"), "text")).withColumnRenamed("row", "doc_id")
+
+
 def build_ledger(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, the measurements and ``failure_bits``.
 
     Null text counts as empty: no words, so it fails ``few_words``.  Null doc_ids and repeated rows
     are kept; other columns are not read; an empty table gives an empty ledger.
     """
-    bits = F.lit(0).cast("long")
-    for rule in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs).select("doc_id", *MEASURES, bits.alias("failure_bits"))
+    return _with_bits(measure(docs)).select("doc_id", *MEASURES, "failure_bits")
 
 
 def rejected(policy: str) -> Column:
@@ -122,6 +131,12 @@ def apply_policy(ledger: DataFrame, policy: str) -> DataFrame:
     return ledger.withColumn("kept", ~rejected(policy))
 
 
+def keep_good(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of ``docs`` that the policy version keeps, with all their columns, in one pass."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return _with_bits(_measured(whole)).where(~rejected(policy)).select("row.*")
+
+
 def ablations(ledger: DataFrame, policy: str) -> DataFrame:
     """(rule, failed, only): documents that fail each of the policy's rules, and those that this
     rule alone removes, so that dropping it would keep them.  One pass, pre-aggregated by bits."""

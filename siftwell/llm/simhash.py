@@ -26,7 +26,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.arrowtext import utf8_values
@@ -59,15 +59,18 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row, fp being the fingerprint as a signed long."""
+    """(doc_id, fp) of every row, fp being the fingerprint as a signed long; a column ``mark`` of
+    longs, if there is one, comes along."""
+    extra = ["mark"] if "mark" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width, seed) for t in utf8_values(batch.column("text"))]
             values = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], names=["doc_id", "fp"])
+            columns = [batch.column("doc_id"), *(batch.column(c) for c in extra), pa.array(values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *extra, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", *extra, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *extra, "fp"]))
 
 
 # -- vantage-point trees --------------------------------------------------------------------------
@@ -277,6 +280,14 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def _classes(marks: DataFrame, radius: int, shard_rows: int, block_rows: int) -> DataFrame:
+    """(fp, root, rep): each distinct fingerprint of ``marks`` (doc_id, fp), its component's
+    smallest fingerprint, and its own smallest doc_id."""
+    reps = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = connected(fingerprint_links(reps.select("fp"), radius, shard_rows=shard_rows, block_rows=block_rows))
+    return reps.join(nodes, reps.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3, shard_rows: int = 16384, block_rows: int = 65536) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fp, fingerprint (hex), component_id.
 
@@ -285,16 +296,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius:
     its component without naming it (component_id is null only if all its doc_ids are).  Repeated
     rows come back as often as they came; other columns are not read; an empty table gives none.
     """
-    marks = cut(fingerprints(docs, width, seed))
-    reps = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    nodes = connected(fingerprint_links(reps.select("fp"), radius, shard_rows=shard_rows, block_rows=block_rows))
-    named = reps.join(nodes, reps.fp == nodes.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    marks = cut(fingerprints(docs.select("doc_id", "text"), width, seed))
+    named = _classes(marks, radius, shard_rows, block_rows)
     roots = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = named.join(roots, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marks.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3, shard_rows: int = 16384, block_rows: int = 65536) -> DataFrame:
+    """Exactly one row of ``docs`` for each component, with all its columns: that with the smallest
+    doc_id (null last), ties by a hash of the text; of repeated rows one stays."""
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark")
+    marks = cut(fingerprints(docs.select("doc_id", "text", mark), width, seed))
+    named = _classes(marks, radius, shard_rows, block_rows).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("k")
+    kept = marks.join(named, "fp").groupBy("root").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), mark)
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    numbered = rows.join(kept, same, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("own_id", "mark").orderBy("mark")))
+    return numbered.where("n = 1").select("row.*")
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
