@@ -36,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table on shared storage: for large rows that are read several times, as
+    it is compressed and its columns are read apart."""
+    path = fresh_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; works on driver and executors alike."""
     from pyarrow import fs
