@@ -24,17 +24,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.arrowtext import slices, utf8_parts
-from siftwell.llm.storage import cut
+from siftwell.llm.storage import cut, written
 from siftwell.llm.wordhash import windows, word_hashes, words
 
 WINDOW = 50
 FILTER_BYTES = 64 << 20
 #: Bytes of per-document lists up to which they are broadcast to the texts.
-LIST_BYTES = 16 << 20
+LIST_BYTES = 32 << 20
 BITS_PER_KEY = 16
 
 
@@ -115,7 +115,7 @@ def _over(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch], list[np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 columns = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in make(part)]
                 for start in range(0, len(columns[0]), 1 << 18):
                     yield pa.RecordBatch.from_arrays([c.slice(start, 1 << 18) for c in columns], names=names)
@@ -156,7 +156,7 @@ def open_windows(n_words: int, places: list[tuple[int, int, int]], window: int)
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, mark, intervals) for texts with words to remove; ``docs`` has doc_id, mark, text.
-    Intervals (start, end in words) may overlap and are complete."""
+    Intervals (start, end in words) are sorted, disjoint and complete."""
     if window < 2 or window % 2:
         raise ValueError("the window must be an even number of words")
     spark, block = docs.sparkSession, window // 2
@@ -176,7 +176,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
         place = (texts.mark[row] << 32) | position
         return [h, texts.second(row, position, block), texts.doc_id[row], place, position % block == 0]
 
-    hits = cut(_over(docs, "h long, g long, doc_id long, place long, own boolean", probe))
+    hits = written(_over(docs, "h long, g long, doc_id long, place long, own boolean", probe), "hits")
     shared = hits.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.min_by("place", "doc_id").alias("low_place"), F.max("doc_id").alias("high"))
     shared = shared.where("low < high").select("h", "g", "low", "low_place")
     own = hits.where("own").join(shared, ["h", "g"]).where("doc_id > low")
@@ -186,7 +186,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 texts = Texts(part, window)
                 out: list[tuple] = []
                 row, position, h = texts.windows(window)
@@ -226,7 +226,18 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
     closed = left_open.join(starts, ["h", "g"]).where("doc_id > low")
     columns = ["doc_id", "mark", F.struct("start", "end").alias("i")]
     every = found.where("h IS NULL").select(*columns).union(closed.select(*columns))
-    return every.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("i")).alias("intervals"))
+    return every.groupBy("doc_id", "mark").agg(_merged(F.array_sort(F.collect_set("i"))).alias("intervals"))
+
+
+def _merged(intervals: Column) -> Column:
+    """Sorted intervals with those that touch made one."""
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(intervals, F.array().cast("array<struct<start:bigint,end:bigint>>"), add)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -244,7 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 array, ends = utf8_parts(part.column("text"))
                 data = array.tobytes()
                 kept, counts, removed = [], [], []

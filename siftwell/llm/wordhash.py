@@ -13,7 +13,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Random odd bases: of bytes, and of the two lanes of words.
 BYTE_BASE, LANE_BASES = 0xC2B2AE3D27D4EB4F, (0x9FB21C651E98DF25, 0xA0761D6478BD642F)
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
