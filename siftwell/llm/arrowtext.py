@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+#: Bounds of an Arrow batch between the JVM and Python, so that long texts do not add up in memory.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches bounded where they were larger."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"([1-9]\d*)b?", str(conf.get(key)).lower())
+        if not now or int(now[1]) > most:
+            conf.set(key, str(most))
+    return df
 
 
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

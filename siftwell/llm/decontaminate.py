@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import slices, utf8_parts
+from siftwell.llm.arrowtext import bounded, slices, utf8_parts
 
 Q = 12
 RATE = 0.05
@@ -258,7 +258,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float =
                     rest = [pa.array([r[k] for r in rows], pa.int32() if k == 4 else pa.int64()) for k in range(1, 6)]
                     yield pa.RecordBatch.from_arrays([doc_ids, *rest], names=["doc_id", "item_id", "start", "end", "edits", "shared"])
 
-        found.append(docs.select("doc_id", "text").mapInArrow(run, MATCHES))
+        found.append(bounded(docs.select("doc_id", "text")).mapInArrow(run, MATCHES))
     if not found:
         return spark.createDataFrame([], MATCHES)
     return reduce(DataFrame.unionAll, found)
@@ -277,7 +277,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: flo
                     clean[[r[0] for r in find_matches(index.value, *utf8_parts(part.column("text")))]] = False
                     yield part if clean.all() else part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs
 
 

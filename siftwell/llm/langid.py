@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.arrowtext import bounded
 from siftwell.llm.wordhash import mix, runs, words
 
 UNKNOWN = "und"
@@ -331,7 +332,7 @@ def predict(docs: DataFrame, model: Model, slice_chars: int = 1 << 20) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
                 done = stop
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

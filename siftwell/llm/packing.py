@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import slices
+from siftwell.llm.arrowtext import bounded, slices
 from siftwell.llm.tokenids import default_path, encoder
 
 CAPACITY = 2048
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, end_id:
                     held = 0
         yield from flush(True)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, PIECES)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import slices, utf8_parts
+from siftwell.llm.arrowtext import bounded, slices, utf8_parts
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -160,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
@@ -195,7 +195,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
                     part = pa.RecordBatch.from_arrays(columns, names=names)
                 yield part
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def span_text(spans: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import slices, utf8_parts
+from siftwell.llm.arrowtext import bounded, slices, utf8_parts
 from siftwell.llm.storage import cut, written
 from siftwell.llm.wordhash import windows, word_hashes, words
 
@@ -120,7 +120,7 @@ def _over(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch], list[np
                 for start in range(0, len(columns[0]), 1 << 18):
                     yield pa.RecordBatch.from_arrays([c.slice(start, 1 << 18) for c in columns], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def _side(lists: DataFrame, weight: str) -> DataFrame:
@@ -178,7 +178,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
 
     hits = written(_over(docs, "h long, g long, doc_id long, place long, own boolean", probe), "hits")
     shared = hits.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.min_by("place", "doc_id").alias("low_place"), F.max("doc_id").alias("high"))
-    shared = shared.where("low < high").select("h", "g", "low", "low_place")
+    # materialised, so that the join below shuffles both sides and a hot hash can be split there
+    shared = written(shared.where("low < high").select("h", "g", "low", "low_place"), "shared")
     own = hits.where("own").join(shared, ["h", "g"]).where("doc_id > low")
     own = own.select("doc_id", F.shiftright("place", 32).alias("mark"), F.struct(F.col("place").bitwiseAND((1 << 32) - 1).alias("at"), "low", "low_place").alias("p"))
     # one row per text: its hit blocks, at most its own length
@@ -211,7 +212,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "h", "g", "start", "end"])
 
     with_places = docs.join(listed, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
-    found = cut(with_places.mapInArrow(extend, "doc_id long, mark long, h long, g long, start long, end long"))
+    found = cut(bounded(with_places).mapInArrow(extend, "doc_id long, mark long, h long, g long, start long, end long"))
     left_open = found.where("h IS NOT NULL")
     open_filter = spark.sparkContext.broadcast(build_filter(cut(left_open.select("h").distinct()), filter_bytes))
 
@@ -222,7 +223,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
         row, position, h = row[hit], position[hit], h[hit]
         return [h, texts.second(row, position, window), texts.doc_id[row]]
 
-    starts = _over(docs, "h long, g long, doc_id long", settle).groupBy("h", "g").agg(F.min("doc_id").alias("low"))
+    starts = cut(_over(docs, "h long, g long, doc_id long", settle).groupBy("h", "g").agg(F.min("doc_id").alias("low")))
     closed = left_open.join(starts, ["h", "g"]).where("doc_id > low")
     columns = ["doc_id", "mark", F.struct("start", "end").alias("i")]
     every = found.where("h IS NULL").select(*columns).union(closed.select(*columns))
@@ -276,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
     joined = marked.join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "intervals")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return bounded(joined).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import slices
+from siftwell.llm.arrowtext import bounded, slices
 from siftwell.llm.storage import filesystem, fresh_dir
 from siftwell.llm.tokenids import default_path, encoder
 
@@ -268,7 +268,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = EN
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: (r.part, r.number))
+    manifest = sorted(bounded(ordered).mapInArrow(run, MANIFEST).collect(), key=lambda r: (r.part, r.number))
     found, before = [], 0
     for r in manifest:
         found.append((r.path, before, r.tokens))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import slices, utf8_values
+from siftwell.llm.arrowtext import bounded, slices, utf8_values
 from siftwell.llm.storage import cut, filesystem, fresh_dir
 
 VERSION = b"WARC/1.1"
@@ -300,7 +300,7 @@ def write_archives(pages: DataFrame, folder: str, *, level: int = 3, file_bytes:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
 
-    return sorted(r.path for r in with_revisits(pages, min_revisit).mapInArrow(run, "path string").collect())
+    return sorted(r.path for r in bounded(with_revisits(pages, min_revisit)).mapInArrow(run, "path string").collect())
 
 
 def read_archives(spark, paths: list[str], *, with_payload: bool = True) -> DataFrame:
