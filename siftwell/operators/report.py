@@ -27,3 +27,18 @@ def averages(results: DataFrame) -> DataFrame:
 def errors(results: DataFrame) -> DataFrame:
     """(url, error) of failed pages."""
     return results.where("error IS NOT NULL").select("url", "error")
+
+
+def published_since(documents: DataFrame, day: str) -> DataFrame:
+    """Documents whose published_time is ``day`` or later, compared as text; a missing one is not."""
+    return documents.where(F.coalesce(F.element_at("metadata", F.lit("published_time")), F.lit("")) >= day)
+
+
+def confident(documents: DataFrame, least: float) -> DataFrame:
+    """Documents whose section filter had a confidence above ``least``; none counts as 0."""
+    return documents.where(F.coalesce(F.element_at("metadata", F.lit("bm25_confidence")).cast("double"), F.lit(0.0)) > least)
+
+
+def cached_count(documents: DataFrame) -> DataFrame:
+    """How many documents came from the cache."""
+    return documents.agg(F.count_if(F.element_at("metadata", F.lit("cached")) == "true").alias("cached"))

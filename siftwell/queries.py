@@ -311,6 +311,34 @@ def ssg_pages(spark, sf_dir):
     return found.select("doc_id", ssg.ssg_markdown(F.col("payload")).alias("s")).where("s IS NOT NULL").select("doc_id", "s.*")
 
 
+@query(
+    """SELECT doc_id, [5, 4, 1][1 + doc_id % 3] AS nodes, ['p', 'h2', 'p'][1 + doc_id % 3] AS first_tag, [1, 3, 1][1 + doc_id % 3] AS depth FROM documents"""
+)
+def cascade_choice(spark, sf_dir):
+    """Pages that the content walk covers, that only heading clusters cover, and that neither does."""
+    long = "Words of a paragraph that is long enough to matter. " * 9
+    numbered_p = "".join(f"<p>Paragraph number {k} with words enough to count for coverage</p>" for k in range(5))
+    shapes = [
+        f"<body>{numbered_p}</body>",
+        f"<body><form><main><div><section><h2>First</h2><p>{long}</p><h3>Second</h3><p>{long}</p></section></div></main></form></body>",
+        f"<body><nav><p>away with this</p></nav><p>{long}</p><article></article></body>",
+    ]
+    html = F.get(F.array(*map(F.lit, shapes)), (F.col("doc_id") % 3).cast("int"))
+    page = extract.with_nodes(parsed(table(spark, sf_dir, "documents").select("doc_id", html.alias("html"))))
+    first = F.get("nodes", F.lit(0))
+    return page.select("doc_id", F.size("nodes").alias("nodes"), first["tag"].alias("first_tag"), first["depth"].alias("depth"))
+
+
+@query(
+    """SELECT page_id AS id FROM pages WHERE '2024-01-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') >= '2024-01-15' AND page_id % 5 > 0"""
+)
+def published_filter(spark, sf_dir):
+    day = F.when(F.col("page_id") % 5 > 0, F.format_string('<meta property="article:published_time" content="2024-01-%02d">', 1 + F.col("page_id") % 28)).otherwise("")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.regexp_replace("html", "</head>", F.concat(day, F.lit("</head>"))).alias("html"))
+    docs = sources.documents(checked(prune(pages)))
+    return report.published_since(docs, "2024-01-15").select(F.col("metadata")["source"].cast("long").alias("id"))
+
+
 # -- sections and ranking -------------------------------------------------------------------------
 
 

@@ -22,6 +22,11 @@ def load_one(pages: DataFrame, url: str, query: str = "") -> DataFrame:
     return documents(checked(prune(pages.where(F.col("url") == url), query), ignore_errors=False))
 
 
+def markdown_of(pages: DataFrame, url: str, query: str = "") -> DataFrame:
+    """Only the Markdown of one URL, as a tool for agents wants it."""
+    return load_one(pages, url, query).select(F.col("page_content").alias("markdown"))
+
+
 def load_batch(pages: DataFrame, urls: DataFrame, query: str = "", *, ignore_errors: bool = True) -> DataFrame:
     """Documents of listed URLs, in no order; a URL listed twice comes twice."""
     return documents(checked(prune(urls.select("url").join(pages, "url"), query), ignore_errors))
