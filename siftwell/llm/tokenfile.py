@@ -35,13 +35,13 @@ from siftwell.llm.storage import filesystem, fresh_dir
 from siftwell.llm.tokenids import default_path, encoder
 
 MAGIC = b"SWRANS01"
-SCALE_BITS = 20
+SCALE_BITS = 18
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 END_ID = 1
 LANES = 2048
 BLOCK_TOKENS = 1 << 20
-FILE_TOKENS = 8 << 20
+FILE_TOKENS = 4 << 20
 MANIFEST = "path string, part long, number long, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -250,8 +250,10 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = EN
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/part-{part:06d}-{number:06d}.rans"
-            _write(path, encode_file(doc_ids, [len(p) // 4 for p in pieces], np.frombuffer(b"".join(pieces), "<u4")))
-            row = ([path], [part], [number], [len(pieces)], [held])
+            lengths, ids = [len(p) // 4 for p in pieces], np.frombuffer(b"".join(pieces), "<u4")
+            pieces.clear()
+            _write(path, encode_file(doc_ids, lengths, ids))
+            row = ([path], [part], [number], [len(lengths)], [held])
             return pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=["path", "part", "number", "docs", "tokens"])
 
         for batch in batches:

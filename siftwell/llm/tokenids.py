@@ -16,11 +16,14 @@ from itertools import compress
 import numpy as np
 
 #: Chunks kept per worker before the cache starts anew.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 1_000_000
 #: Longer texts are taken in segments of about so many characters, cut where a chunk starts.
 SEGMENT_CHARS = 1 << 20
 
 _UNSAFE = re.compile(r"\s \s")
+#: White space to Python but not to the library.
+_SEPARATORS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_LATIN_LOWER = bytes(ord(chr(c).lower()) for c in range(256))
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A first chunk has no space before it; this mark, which no chunk can start with, tells it apart.
 _HEAD = " "
@@ -43,6 +46,7 @@ class ChunkEncoder:
         for token, i in vocabulary:
             self.adds[i] = token.endswith("</w>") if self.drops_space else len(token)
         self.stops = dict(zip(".,", self.whole([".", ","])))
+        self.line_end = self.whole(["\n"])[0]
         self.cache: dict[str, bytes] = {}
         self.odd = False
 
@@ -71,6 +75,9 @@ class ChunkEncoder:
     def _learn(self, missing: set[str]) -> None:
         """Encode new chunks; one that ends in a stop after a letter takes the ids of its word."""
         cache, stops = self.cache, self.stops
+        lines = {} if self.drops_space else self._lines(missing)
+        missing.difference_update(lines)
+        missing.update([part for pair in lines.values() for part in pair if part not in cache])
         stopped = [c for c in missing if c[-1:] in stops and c[-2:-1].isalpha() and c[0] != _HEAD]
         missing.difference_update(stopped)
         missing.update([c for c in [c[:-1] for c in stopped] if c not in cache])
@@ -85,6 +92,34 @@ class ChunkEncoder:
         cache.update(zip(alone, self.whole([c if self.drops_space else " " + c for c in alone])))
         cache.update(zip(joined, self._joined(joined, [w for w in weights if w])))
         cache.update([(c, cache[c[:-1]] + stops[c[-1]]) for c in stopped])
+        cache.update([(c, cache[a] + self.line_end + cache[b]) for c, (a, b) in lines.items()])
+
+    @staticmethod
+    def _lines(chunks: set[str]) -> dict[str, tuple[str, str]]:
+        """Chunks with one line end between other characters, which is a pre-token by itself: the
+        part before it, and the part after it, which has no space before."""
+        found = {}
+        for c in chunks:
+            if "\n" in c and c[0] != _HEAD:
+                a, _, b = c.partition("\n")
+                if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace() and not a[0].isspace():
+                    found[c] = a, _HEAD + b
+        return found
+
+    def _split(self, text: str) -> list[str]:
+        """Chunks of a text.  Where white space is dropped any of it parts chunks, and where case
+        is too, texts of Latin characters (whose lower case needs no context) are lowered first."""
+        if not self.drops_space:
+            chunks = text.split(" ")
+            chunks[0] = _HEAD + chunks[0]
+            return chunks
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        if any(x in raw for x in _SEPARATORS):
+            return text.split(" ")
+        return raw.translate(_LATIN_LOWER).decode("latin-1").split()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_CHUNKS:
@@ -92,10 +127,7 @@ class ChunkEncoder:
         flat: list[str] = []
         ends = [0]
         for text in texts:
-            chunks = text.split(" ")
-            if not self.drops_space:
-                chunks[0] = _HEAD + chunks[0]
-            flat += chunks
+            flat += self._split(text)
             ends.append(len(flat))
         ids = list(map(self.cache.get, flat))
         new = [i for i, v in enumerate(ids) if v is None]
