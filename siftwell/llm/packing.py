@@ -58,8 +58,8 @@ class Packer:
     """Packs documents given by ``add``; ``pack`` yields rows (doc, start, length, sequence, offset,
     sequence length), where ``doc`` is what was added."""
 
-    def __init__(self, capacity: int = CAPACITY):
-        self.capacity = capacity
+    def __init__(self, capacity: int = CAPACITY, most_waiting: int = WINDOW_TOKENS // 4):
+        self.capacity, self.most_waiting = capacity, most_waiting
         self.open: dict[int, list[tuple[object, int]]] = {}
         self.tokens = 0
         self.sequences = 0
@@ -72,12 +72,14 @@ class Packer:
             offset += length
         self.sequences += 1
 
-    def add(self, doc: object, tokens: int) -> None:
+    def add(self, doc: object, tokens: int, rest: object = None) -> None:
+        """Add a document; ``rest``, if given, stands for it where its last, partial sequence does,
+        so that a long document need not be held while that waits."""
         whole = tokens - tokens % self.capacity
         for start in range(0, whole, self.capacity):
             self._emit([(doc, start, self.capacity)])
         if tokens > whole:
-            self._put(doc, whole, tokens - whole)
+            self._put(doc if rest is None else rest, whole, tokens - whole)
 
     def _put(self, doc: object, start: int, length: int) -> None:
         self.open.setdefault(length, []).append((doc, start))
@@ -117,8 +119,9 @@ class Packer:
         return True
 
     def pack(self, last: bool) -> list[tuple]:
-        """Rows ready so far; pieces that leave slack wait for more documents unless ``last``."""
-        while self.tokens >= self.capacity and self._fill(last):
+        """Rows ready so far; pieces that leave slack wait for more documents, unless ``last`` or
+        while more than ``most_waiting`` tokens wait."""
+        while self.tokens >= self.capacity and self._fill(last or self.tokens > self.most_waiting):
             pass
         if last:
             for bit in reversed(range(self.capacity.bit_length())):
@@ -133,9 +136,9 @@ class Packer:
 
 
 def _batch(rows: list[tuple], base: int) -> pa.RecordBatch:
-    """Rows of ``Packer.pack`` over docs (doc_id, id bytes) as output."""
-    ids = [d[1][4 * s : 4 * (s + n)] for d, s, n, *_ in rows]
-    columns = [[d[0] for d, *_ in rows], [r[1] for r in rows], [r[2] for r in rows], ids, [len(d[1]) // 4 for d, *_ in rows]]
+    """Rows of ``Packer.pack`` over docs (doc_id, id bytes, ids before these, all ids) as output."""
+    ids = [d[1][4 * (s - d[2]) : 4 * (s + n - d[2])] for d, s, n, *_ in rows]
+    columns = [[d[0] for d, *_ in rows], [r[1] for r in rows], [r[2] for r in rows], ids, [d[3] for d, *_ in rows]]
     columns += [[base + r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]]
     kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
     names = [c.split()[0] for c in PIECES.split(", ")]
@@ -166,8 +169,11 @@ def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, end_id:
             for part in slices(batch, "text", 2 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens_of.encode(texts)):
-                    packer.add((doc_id, ids + end), len(ids) // 4 + 1)
-                    held += len(ids) // 4 + 1
+                    ids += end
+                    n = len(ids) // 4
+                    whole = n - n % capacity
+                    packer.add((doc_id, ids, 0, n), n, (doc_id, ids[4 * whole :], whole, n) if whole else None)
+                    held += n
                 if held >= window_tokens:
                     yield from flush(False)
                     held = 0

@@ -83,6 +83,15 @@ def test_packer_places_every_token_once_and_pads_nothing():
     assert whole > 0.9 * n  # few documents are cut other than by their length
 
 
+def test_waiting_pieces_are_bounded_where_lengths_do_not_fit():
+    packer, rows, tokens = packing.Packer(most_waiting=30000), [], {i: 1500 for i in range(400)}
+    for doc, length in tokens.items():
+        packer.add(doc, length)
+        rows += packer.pack(False)
+        assert packer.tokens <= 30000 + 2048
+    check([r[:5] for r in rows + packer.pack(True)], tokens)
+
+
 def test_query_equals_the_library(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = packing.op6_packing(spark, "/root/testdata/sf0.001").collect()
