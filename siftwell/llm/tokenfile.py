@@ -39,8 +39,8 @@ SCALE_BITS = 18
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 END_ID = 1
-LANES = 2048
-BLOCK_TOKENS = 1 << 20
+LANES = 8192
+BLOCK_TOKENS = 2 << 20
 FILE_TOKENS = 4 << 20
 MANIFEST = "path string, part long, number long, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
@@ -82,6 +82,8 @@ class Table:
     def __post_init__(self) -> None:
         self.freq = self.freq.astype(np.uint64)
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
+        self.gap = np.uint64(1 << SCALE_BITS) - self.freq
+        self.most = self.freq << np.uint64(63 - SCALE_BITS)
 
     def slots(self) -> np.ndarray:
         """Symbol number of each of the ``1 << SCALE_BITS`` slots."""
@@ -96,16 +98,18 @@ def encode_block(numbers: np.ndarray, table: Table, lanes: int) -> bytes:
     lanes = max(1, min(lanes, len(numbers)))
     rows = -(-len(numbers) // lanes)
     state = np.full(lanes, LOW, np.uint64)
-    scale = np.uint64(SCALE_BITS)
     words: list[np.ndarray] = []
     for r in range(rows - 1, -1, -1):
         some = numbers[r * lanes : (r + 1) * lanes]
-        x, f, c = state[: len(some)], table.freq[some], table.cum[some]
-        over = x >= f << np.uint64(63 - SCALE_BITS)
-        words.append(x[over].astype(np.uint32))
-        x = np.where(over, x >> WORD, x)
-        q = x // f
-        state[: len(some)] = (q << scale) + (x - q * f) + c
+        x = state[: len(some)]  # a view: the lanes' states change in place
+        over = np.flatnonzero(x >= table.most[some])
+        spilled = x[over]
+        words.append(spilled.astype(np.uint32))
+        x[over] = spilled >> WORD
+        q = x // table.freq[some]
+        q *= table.gap[some]
+        x += q  # x becomes (x // f << SCALE_BITS) + x % f + c
+        x += table.cum[some]
     return state.astype("<u8").tobytes() + b"".join(w.astype("<u4").tobytes() for w in reversed(words))
 
 
@@ -153,7 +157,7 @@ def encode_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray,
     blocks, checkpoints, offset = [], [], 0
     for first in range(0, len(ids), block_tokens):
         some = ids[first : first + block_tokens]
-        own = max(1, min(lanes, len(some) // 64))
+        own = max(1, min(lanes, len(some) // 256))
         data = encode_block(number_of[some], table, own)
         checkpoints.append([offset, len(data), first, len(some), own, zlib.crc32(data), zlib.crc32(some.astype("<u4").tobytes())])
         blocks.append(data)
