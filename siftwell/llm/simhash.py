@@ -21,6 +21,7 @@ alternating large-star and small-star rounds on Spark tables, each cut on shared
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -29,12 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import utf8_values
-from siftwell.llm.storage import cut
+from siftwell.llm.arrowtext import bounded, slices, utf8_values
+from siftwell.llm.storage import cut, written
+from siftwell.llm.wordhash import LANE_BASES, runs, windows, word_hashes, words
 
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LEAF = 96
+#: Bounds of ``all_pairs``.
+DENSE, NEAREST = 16, 8
 CHUNK = 1 << 16
 
 
@@ -70,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             columns = [batch.column("doc_id"), *(batch.column(c) for c in extra), pa.array(values)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *extra, "fp"])
 
-    return docs.select("doc_id", *extra, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *extra, "fp"]))
+    return bounded(docs.select("doc_id", *extra, "text")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *extra, "fp"]))
 
 
 # -- vantage-point trees --------------------------------------------------------------------------
@@ -80,24 +84,28 @@ def distance(a: np.ndarray, b, mask: np.uint64) -> np.ndarray:
     return np.bitwise_count((a ^ b) & mask)
 
 
-def choose_split(homes: np.ndarray, mask: np.uint64) -> tuple[np.uint64, int] | None:
-    """A vantage point and a threshold that part ``homes``; None if no candidate parts them well."""
-    best, best_small = None, 0
-    for vantage in homes[np.linspace(0, len(homes) - 1, 3).astype(int)]:
-        d = distance(homes, vantage, mask)
-        r = min(int(np.median(d)), int(d.max()) - 1)
-        small = min(inside := int((d <= r).sum()), len(homes) - inside)
-        if small > best_small:
-            best, best_small = (vantage, r), small
-    return best if best_small * 10 >= len(homes) else None
+def choose_split(homes: np.ndarray, mask: np.uint64, t: int) -> tuple[np.uint64, int] | None:
+    """A vantage point and a threshold that part ``homes`` with few of them within ``t`` of the
+    threshold, as seen on some of them; None if no candidate leaves a tenth on each side."""
+    some = homes[:: max(1, len(homes) // 2048)]
+    n, best, best_cost = len(some), None, np.inf
+    for vantage in homes[np.linspace(0, len(homes) - 1, min(8, len(homes))).astype(int)]:
+        inside = np.cumsum(np.bincount(distance(some, vantage, mask), minlength=66))
+        small = np.minimum(inside, n - inside)
+        near = np.append(inside[t:], np.full(t, n)) - np.concatenate([np.zeros(t, np.int64), inside[: len(inside) - t]])
+        cost = np.where(small * 5 >= n, near / np.maximum(small, 1), np.where(small * 10 >= n, 100 + near / np.maximum(small, 1), np.inf))
+        r = int(cost.argmin())
+        if cost[r] < best_cost:
+            best, best_cost = (vantage, r), cost[r]
+    return best
 
 
-def build_top(sample: np.ndarray, mask: np.uint64, leaves: int) -> list:
+def build_top(sample: np.ndarray, mask: np.uint64, t: int, leaves: int) -> list:
     """A tree over ``sample`` with about ``leaves`` leaves: nested [vantage, r, inner, outer] or [shard]."""
     number = iter(range(1 << 40))
 
     def grow(rows: np.ndarray, wanted: int) -> list:
-        split = choose_split(rows, mask) if wanted > 1 and len(rows) > 1 else None
+        split = choose_split(rows, mask, t) if wanted > 1 and len(rows) > 1 else None
         if split is None:
             return [next(number)]
         vantage, r = split
@@ -144,20 +152,45 @@ def close_pairs(homes: np.ndarray, guests: np.ndarray, radius: int, same: bool)
                 yield some[some_hit], part[first[some_hit]]
 
 
-def search(homes: np.ndarray, guests: np.ndarray, half: np.uint64, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among homes, and between homes and guests, by a tree grown on the homes."""
+def all_pairs(homes: np.ndarray, guests: np.ndarray, radius: int, same: bool, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``radius``; with ``later``, those that the first half's forest has not found.
+    Only in a block where rows have more than DENSE partners on average does each row keep its
+    NEAREST closest ones, so that a group of copies gives pairs in proportion to its size."""
+    for i in range(0, len(homes), 256):
+        part = homes[i : i + 256]
+        for rows in (homes[i:], guests) if same else (guests,):
+            for k in range(0, len(rows), 4096):
+                some = rows[k : k + 4096]
+                far = distance(some[:, None], part[None, :], WHOLE)
+                match = (far <= radius) & (far > 0)
+                if later and match.any():
+                    match &= distance(some[:, None], part[None, :], HALVES[0]) > radius // 2
+                if np.count_nonzero(match) > DENSE * len(some) and len(part) > NEAREST:
+                    closest = np.argpartition(np.where(match, far, 255), NEAREST - 1, axis=1)[:, :NEAREST]
+                    kept = np.zeros_like(match)
+                    np.put_along_axis(kept, closest, True, axis=1)
+                    match &= kept
+                at, home = np.nonzero(match)
+                if len(at):
+                    yield some[at], part[home]
+
+
+def search(homes: np.ndarray, guests: np.ndarray, half: np.uint64, radius: int, leaf=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among homes, and between homes and guests, by a tree grown on the homes; ``leaf``
+    (``close_pairs`` unless given) takes what is not split further."""
+    leaf = leaf or close_pairs
     stack = [(homes, guests, half, radius // 2)]
     while stack:
         homes, guests, mask, t = stack.pop()
         if len(homes) <= LEAF:
-            yield from close_pairs(homes, guests, radius, True)
+            yield from leaf(homes, guests, radius, True)
             continue
-        split = choose_split(homes, mask)
+        split = choose_split(homes, mask, t)
         if split is None:
             if mask != WHOLE:
                 stack.append((homes, guests, WHOLE, radius))
             else:
-                yield from close_pairs(homes, guests, radius, True)
+                yield from leaf(homes, guests, radius, True)
             continue
         vantage, r = split
         dh, dg = distance(homes, vantage, mask), distance(guests, vantage, mask)
@@ -195,19 +228,21 @@ def fingerprint_links(
     fps: DataFrame,
     radius: int = 3,
     *,
-    shard_rows: int = 16384,
-    block_rows: int = 65536,
+    shard_rows: int = 65536,
+    block_rows: int = 524288,
     sample_rows: int = 1 << 17,
+    pairs: bool = False,
 ) -> DataFrame:
     """(a, b) links between the distinct fingerprints of ``fps.fp`` whose components are those of
-    all pairs within ``radius`` bits.  ``fps`` must be materialised: it is read several times."""
+    all pairs within ``radius`` bits; with ``pairs`` the pairs themselves (see ``all_pairs``).
+    ``fps`` must be materialised: it is read several times."""
     spark = fps.sparkSession
     total = fps.count()
     leaves = max(1, -(-total // shard_rows))
-    bound = min(sample_rows, 64 * leaves)
+    bound = min(sample_rows, 2048 * leaves)
     sample = [r.fp for r in fps.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(bound).collect()]
     sample_fps = np.array(sample, np.int64).view(np.uint64)
-    tops = spark.sparkContext.broadcast([build_top(sample_fps, m, leaves) if total else [0] for m in HALVES])
+    tops = spark.sparkContext.broadcast([build_top(sample_fps, m, radius // 2, leaves) if total else [0] for m in HALVES])
     t = radius // 2
 
     def rows(batches, blocks) -> Iterator[pa.RecordBatch]:
@@ -247,11 +282,18 @@ def fingerprint_links(
     def links(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
         guest = table.column("guest").to_numpy()
-        half = HALVES[table.column("forest")[0].as_py()]
-        found = list(search(fp[~guest], fp[guest], half, radius))
+        number = table.column("forest")[0].as_py()
+        half = HALVES[number]
+        leaf = partial(all_pairs, later=number > 0) if pairs else None
+        found = list(search(fp[~guest], fp[guest], half, radius, leaf))
         left = np.concatenate([x for x, _ in found]) if found else fp[:0]
         right = np.concatenate([x for _, x in found]) if found else fp[:0]
-        a, b = forest(left.view(np.int64), right.view(np.int64))
+        a, b = left.view(np.int64), right.view(np.int64)
+        if pairs:
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            a, b = both[:, 0].copy(), both[:, 1].copy()
+        else:
+            a, b = forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return routed(blocks).groupBy("forest", "shard", "home_block", "guest_block").applyInArrow(links, "a long, b long")
@@ -288,7 +330,7 @@ def _classes(marks: DataFrame, radius: int, shard_rows: int, block_rows: int) ->
     return reps.join(nodes, reps.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3, shard_rows: int = 16384, block_rows: int = 65536) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3, shard_rows: int = 65536, block_rows: int = 524288) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fp, fingerprint (hex), component_id.
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``radius`` bits.
@@ -304,14 +346,80 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius:
     return marks.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = 3, seed: int = 42, radius: int = 3, shard_rows: int = 16384, block_rows: int = 65536) -> DataFrame:
-    """Exactly one row of ``docs`` for each component, with all its columns: that with the smallest
-    doc_id (null last), ties by a hash of the text; of repeated rows one stays."""
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of word pairs lie within so many bits where five-word shingles are 0.8 similar.
+PAIR_WIDTH, PAIR_RADIUS = 2, 9
+#: Rows of the list of texts to compare up to which it is broadcast (three longs each).
+COMPARED_ROWS = 200_000
+
+
+def shingle_hashes(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's lower-cased word shingles; a shorter text has one."""
+    ends = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=ends[1:])
+    array = np.frombuffer(b"".join(texts).lower(), np.uint8)
+    starts, stops, first = words(array, ends)
+    hashes = word_hashes(array, starts, stops)
+    at, h = windows(hashes, first, width)
+    bounds = np.searchsorted(at, first)
+    out = []
+    for r in range(len(texts)):
+        own = h[bounds[r] : bounds[r + 1]]
+        if not len(own) and first[r] < first[r + 1]:
+            own = runs(hashes, first[r : r + 1], first[r + 1 : r + 2], LANE_BASES[0])
+        out.append(np.unique(own))
+    return out
+
+
+def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts' shingle sets have at least this Jaccard similarity.
+    ``docs`` has own_id, mark, text; ``reps`` (fp, rep_id, rep_mark) names a text of each."""
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    asked = cut(asked.join(reps, "fp"))
+    side = F.broadcast(asked) if asked.count() <= COMPARED_ROWS else asked
+    same = F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("mark") == F.col("rep_mark"))
+    texts = docs.join(side, same).select("fp", "text")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets = [x.tobytes() for x in shingle_hashes(list(utf8_values(part.column("text"))))]
+                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(utf8_values(batch.column("x")), utf8_values(batch.column("y"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # rows that repeat a text give its set again; one of them stays
+    sets = bounded(texts).mapInArrow(shingles, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets, "shingles")
+    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return bounded(both).mapInArrow(verify, "a long, b long")
+
+
+def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, width: int = PAIR_WIDTH, seed: int = 42, radius: int = PAIR_RADIUS, shard_rows: int = 65536, block_rows: int = 524288) -> DataFrame:
+    """Exactly one row of ``docs`` for each group of near duplicates, with all its columns: that
+    with the smallest doc_id (null last), ties by a hash of the text; of repeated rows one stays.
+
+    Groups are the components of pairs whose five-word shingles have at least this Jaccard
+    similarity, checked exactly; fingerprints of word pairs within ``radius`` bits propose them.
+    Texts with the same fingerprint are one group.  Null and blank texts are alike."""
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark")
     marks = cut(fingerprints(docs.select("doc_id", "text", mark), width, seed))
-    named = _classes(marks, radius, shard_rows, block_rows).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("k")
-    kept = marks.join(named, "fp").groupBy("root").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
+    reps = cut(marks.groupBy("fp").agg(first))
+    named = reps.select("fp", F.col("k.doc_id").alias("rep_id"), F.col("k.mark").alias("rep_mark"))
+    texts, sizes = docs.select(F.col("doc_id").alias("own_id"), mark, "text"), {"shard_rows": shard_rows, "block_rows": block_rows}
+    pairs = written(fingerprint_links(reps.select("fp"), radius, pairs=True, **sizes).distinct(), "pairs")
+    nodes = connected(similar_pairs(texts, named, pairs, similarity))
+    classes = reps.join(nodes, reps.fp == nodes.node, "left").select(F.coalesce("root", "fp").alias("root"), "k")
+    kept = classes.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), mark)
     same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
     numbered = rows.join(kept, same, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("own_id", "mark").orderBy("mark")))

@@ -24,9 +24,7 @@ def test_stages_equal_brute_force(spark):
         kept |= set() if bad else {r.doc_id}
     assert frame.columns == names and {r.doc_id for r in frame.collect()} == kept < set(rows)
 
-    left = sorted(kept)
-    fps = [test_simhash.brute_fingerprint(rows[d].text) for d in left]
-    kept = {left[c] for c in test_simhash.brute_components(fps)}
+    left, kept = kept, test_simhash.brute_kept({d: rows[d].text for d in kept})
     frame = run("simhash near-dedup", frame)
     assert frame.columns == names and sorted(r.doc_id for r in frame.collect()) == sorted(kept) and len(kept) < len(left)
 

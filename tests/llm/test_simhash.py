@@ -29,6 +29,67 @@ def brute_components(values):
     return [root(i) for i in range(len(values))]
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(texts):
+    """Smallest doc_id of each component of pairs that share 0.8 of their five-word shingles."""
+    order = sorted(texts)
+    sets, parent, holders = {d: shingles(texts[d]) for d in order}, {d: d for d in order}, {}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d in order:
+        for other in {o for g in sets[d] for o in holders.get(g, ())} if sets[d] else {o for o in order if o < d and not sets[o]}:
+            shared = len(sets[d] & sets[other])
+            if shared >= 0.8 * (len(sets[d]) + len(sets[other]) - shared):
+                a, b = root(d), root(other)
+                parent[max(a, b)] = min(a, b)
+        for g in sets[d]:
+            holders.setdefault(g, []).append(d)
+    return {root(d) for d in order}
+
+
+def test_shingle_hashes_stand_for_shingles():
+    texts = ["a b c d e f g", "A b C d E", "a b", "", "  ", "a b c d e a b c d e a b c d e", "é è a b c d"]
+    got = simhash.shingle_hashes([t.encode() for t in texts])
+    assert [len(x) for x in got] == [len(shingles(t)) for t in texts]
+    by = {}
+    for t, x in zip(texts, got):
+        for g in shingles(t):
+            by.setdefault(g, set()).update([frozenset(x.tolist())])
+    assert set(got[1]) <= set(got[0]) and set(got[1]) <= set(got[5]) and not set(got[2]) & set(got[0])
+
+
+def test_all_pairs_are_found_and_dense_blocks_bounded(spark):
+    values = np.array(fingerprint_set(), np.uint64)
+    want = {(a, b) for a in values.tolist() for b in values.tolist() if a < b and (a ^ b).bit_count() <= 3}
+    sparse = values[:120]
+    found = set()
+    for half in simhash.HALVES:
+        for a, b in simhash.search(sparse, sparse[:0], half, 3, simhash.all_pairs):
+            found |= {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())}
+    assert found == {(a, b) for a, b in want if a in set(sparse.tolist()) and b in set(sparse.tolist())}
+    ball = np.uint64(1 << 40) ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))
+    ball = np.unique(np.concatenate([ball ^ np.uint64(1 << k) for k in range(0, 60, 3)]))
+    n = sum(len(a) for a, _ in simhash.all_pairs(ball, ball[:0], 9, True))
+    assert len(ball) < n <= simhash.NEAREST * len(ball) * (1 + len(ball) // 256)
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_kept({r.doc_id: r.text for r in docs.collect()})
+    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    assert len(kept) == len(set(kept)) and want <= set(kept)
+    dropped = docs.count() - len(want)
+    assert len(set(kept) - want) <= 0.02 * dropped
+
+
 def test_fingerprint_matches_its_definition(spark):
     texts = ["One two THREE four five", "a b", "", None, " \t\n", "É é Ñ ñ x y", "same same same same " * 50]
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fp string")
