@@ -388,12 +388,13 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(utf8_values(batch.column("x")), utf8_values(batch.column("y"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, "x", 1 << 20):
+                keep = []
+                for x, y in zip(utf8_values(part.column("x")), utf8_values(part.column("y"))):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(shared >= similarity * (len(x) + len(y) - shared))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # rows that repeat a text give its set again; one of them stays
     sets = bounded(texts).mapInArrow(shingles, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))

@@ -72,8 +72,9 @@ class ChunkEncoder:
         cuts = [0, *(4 * cuts).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Encode new chunks; one that ends in a stop after a letter takes the ids of its word."""
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Encode new chunks; one that ends in a stop after a letter takes the ids of its word.
+        Chunks over a line end hardly ever come again: they are returned and not kept."""
         cache, stops = self.cache, self.stops
         lines = {} if self.drops_space else self._lines(missing)
         missing.difference_update(lines)
@@ -92,7 +93,7 @@ class ChunkEncoder:
         cache.update(zip(alone, self.whole([c if self.drops_space else " " + c for c in alone])))
         cache.update(zip(joined, self._joined(joined, [w for w in weights if w])))
         cache.update([(c, cache[c[:-1]] + stops[c[-1]]) for c in stopped])
-        cache.update([(c, cache[a] + self.line_end + cache[b]) for c, (a, b) in lines.items()])
+        return {c: cache[a] + self.line_end + cache[b] for c, (a, b) in lines.items()}
 
     @staticmethod
     def _lines(chunks: set[str]) -> dict[str, tuple[str, str]]:
@@ -132,9 +133,10 @@ class ChunkEncoder:
         ids = list(map(self.cache.get, flat))
         new = [i for i, v in enumerate(ids) if v is None]
         if new:
-            self._learn({flat[i] for i in new})
+            passing = self._learn({flat[i] for i in new})
             for i in new:
-                ids[i] = self.cache[flat[i]]
+                chunk = flat[i]
+                ids[i] = passing[chunk] if chunk in passing else self.cache[chunk]
         out = [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
         if self.odd:
             unsafe = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
