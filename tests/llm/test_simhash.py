@@ -149,3 +149,28 @@ def test_query_equals_brute_force(spark, tmp_path):
     fps = [brute_fingerprint(r.text) for r in docs]
     want = {(d.doc_id, f"{f:016x}", docs[c].doc_id) for d, f, c in zip(docs, fps, brute_components(fps))}
     assert {tuple(r) for r in simhash.op2_simhash(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.choice(len(out), edits, replace=False):
+        out[at] = f"edit{rng.integers(1 << 40)}"
+    return out
+
+
+def kept_of(spark, texts, **kw):
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.keep_one(docs, **kw).collect())
+
+
+def test_two_versions_of_many_copies_are_one_group(spark):
+    """Each copy is closest to copies of its own version; only links between the versions join them."""
+    rng, texts = np.random.default_rng(3), {}
+    for group in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        other = words[:340] + [f"v{x}" for x in rng.integers(0, 5000, 28)] + words[368:]
+        for version in (words, other):
+            for _ in range(60):
+                texts[len(texts)] = " ".join(edited(rng, version, int(rng.integers(1, 4))))
+    want = brute_kept(texts)
+    assert len(want) == 6 and kept_of(spark, texts) == sorted(want)
