@@ -174,3 +174,17 @@ def test_two_versions_of_many_copies_are_one_group(spark):
                 texts[len(texts)] = " ".join(edited(rng, version, int(rng.integers(1, 4))))
     want = brute_kept(texts)
     assert len(want) == 6 and kept_of(spark, texts) == sorted(want)
+
+
+def test_copies_with_one_part_cut_added_or_replaced_are_caught(spark):
+    rng, texts, want = np.random.default_rng(4), {}, set()
+    pick = lambda n: [f"w{x}" for x in np.minimum(rng.zipf(1.2, n), 30000)]
+    for i in range(600):
+        words = pick(int(rng.integers(60, 300)))
+        n = len(words)
+        at = int(rng.integers(0, n // 2))
+        edits = [words[: n - n // 6], words + pick(n // 6), words[:at] + pick(n // 14) + words[at + n // 14 :], words[:at] + words[at + n // 6 :]]
+        for version in (words, edits[i % 4]):
+            texts[len(texts)] = " ".join(version)
+    want = brute_kept(texts)
+    assert len(want) < 750 and kept_of(spark, texts) == sorted(want)
