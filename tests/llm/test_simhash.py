@@ -188,3 +188,33 @@ def test_copies_with_one_part_cut_added_or_replaced_are_caught(spark):
             texts[len(texts)] = " ".join(version)
     want = brute_kept(texts)
     assert len(want) < 750 and kept_of(spark, texts) == sorted(want)
+
+
+def test_different_texts_with_one_fingerprint_stay(spark):
+    line = " ".join(f"line{i}" for i in range(11))
+    own = [" ".join(f"{name}{i}" for i in range(3000)) for name in "abc"]
+    texts = {i: f"{x} " + f"{line} " * 1000 for i, x in enumerate(own)}
+    texts[3] = f"{texts[0]} {line}"
+    assert len({simhash.fingerprint(t.encode(), simhash.PAIR_WIDTH) for t in texts.values()}) == 1
+    assert brute_kept(texts) == {0, 1, 2} and kept_of(spark, texts) == [0, 1, 2]
+
+
+def test_shingle_index_in_tiny_blocks_finds_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in range(120)]
+    sets = simhash.shingle_hashes([" ".join(edited(rng, base, int(rng.integers(0, 6)))).encode() for _ in range(80)])
+    keys = simhash.set_keys(sets)
+    common = np.unique(np.concatenate(sets)[::7]), np.arange(len(np.unique(np.concatenate(sets)[::7])))
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    starts = simhash.prefixes(sets, common, 0.8)
+    for i in range(80):
+        for k in range(i):
+            assert not alike(sets[i], sets[k]) or len(np.intersect1d(starts[i], starts[k]))
+    docs = spark.createDataFrame([(" ".join(edited(rng, base, int(rng.integers(0, 6)))), i) for i in range(80)], "text string, mark long")
+    sets = simhash.shingle_hashes([r.text.encode() for r in docs.collect()])
+    keys = simhash.set_keys(sets).tolist()
+    rows = [(k, k, len(x), bytes(b)) for k, x, b in zip(keys, sets, simhash.parities(sets))]
+    classes = spark.createDataFrame(rows, "key long, root long, n long, bits binary")
+    want = {tuple(sorted((keys[i], keys[k]))) for i in range(80) for k in range(i) if keys[i] != keys[k] and alike(sets[i], sets[k])}
+    for most in (512, 7):
+        assert want and want <= {(r.a, r.b) for r in simhash.indexed_pairs(docs, classes, 0.8, most).collect()}
