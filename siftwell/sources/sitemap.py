@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import strip
 from siftwell.sources.pages import load_batch, matches_prefix
 
-MAX_DEPTH = 10
-
 
 def _locations(xml, kind: str):
     found = F.xpath(xml, F.lit("/urlset/url/loc/text()" if kind == "urlset" else "/sitemapindex/sitemap/loc/text()"))
@@ -25,20 +23,25 @@ def parse(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.select("url", is_index.alias("is_index"), found.alias("urls"))
 
 
-def expand(sitemaps: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def expand(sitemaps: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """(ord, url) of all pages under a sitemap, child after child, repeats kept; a child that is not
-    in the table adds nothing.  Each level is one join, and ``max_depth`` bounds cycles."""
+    in the table adds nothing.  Each level is one join.  An index below itself raises, unless
+    ``max_depth`` bounds the levels."""
     spark, known = sitemaps.sparkSession, parse(sitemaps)
-    level = spark.createDataFrame([([0], root)], "ord array<int>, at string")
-    pages = None
-    for _ in range(max_depth):
-        joined = level.join(known, F.col("at") == F.col("url")).select("ord", "is_index", F.posexplode("urls").alias("i", "found"))
-        step = joined.select(F.array_append("ord", F.col("i")).alias("ord"), "is_index", "found")
+    level = spark.createDataFrame([([0], root, [root])], "ord array<int>, at string, path array<string>")
+    pages, depth = None, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        joined = level.join(known, F.col("at") == F.col("url")).select("ord", "path", "is_index", F.posexplode("urls").alias("i", "found"))
+        step = joined.select(F.array_append("ord", F.col("i")).alias("ord"), "path", "is_index", "found")
         own = step.where("NOT is_index").select("ord", F.col("found").alias("url"))
         pages = own if pages is None else pages.unionAll(own)
-        level = step.where("is_index").select("ord", F.col("found").alias("at"))
+        below = step.where("is_index")
+        level = below.select("ord", F.col("found").alias("at"), F.array_append("path", F.col("found")).alias("path"))
         if level.isEmpty():
             break
+        if max_depth is None and (again := below.where("array_contains(path, found)").first()):
+            raise ValueError(f"sitemap index below itself: {again.found}")
     return pages
 
 

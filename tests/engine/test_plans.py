@@ -192,6 +192,15 @@ def test_sources(spark):
     assert sitemap.load_sitemap(table, maps, "s", prefixes=["http://a/"]).count() == 1
 
 
+def test_sitemaps_deeper_than_ten_levels_and_cycles(spark):
+    index = lambda at: f"<sitemapindex><sitemap><loc>{at}</loc></sitemap></sitemapindex>"
+    xml = [(str(i), index(i + 1)) for i in range(11)] + [("11", "<urlset><url><loc>http://a/1</loc></url></urlset>"), ("x", index("y")), ("y", index("x"))]
+    maps = spark.createDataFrame(xml, "url string, xml string")
+    assert [r.url for r in sitemap.expand(maps, "0").collect()] == ["http://a/1"]
+    with pytest.raises(ValueError, match="below itself"):
+        sitemap.expand(maps, "x")
+
+
 def test_fetch_tiers():
     calls = []
 
