@@ -20,9 +20,7 @@ alternating large-star and small-star rounds on Spark tables, each cut on shared
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -31,15 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.llm import shingles
 from siftwell.llm.arrowtext import bounded, slices, utf8_values
-from siftwell.llm.storage import cut, written
-from siftwell.llm.wordhash import LANE_BASES, runs, windows, word_hashes, words
+from siftwell.llm.shingles import merged
+from siftwell.llm.storage import cut, scratch, written
 
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LEAF = 96
-#: Bounds of ``all_pairs``.
-DENSE, NEAREST = 16, 8
 CHUNK = 1 << 16
 
 
@@ -134,12 +131,11 @@ def route(tree: list, fps: np.ndarray, mask: np.uint64, t: int) -> Iterator[tupl
         stack.append((outer, homes[~inside], np.concatenate([homes[inside & (dh > r - t)], guests[dg > r - t]])))
 
 
-def close_pairs(homes: np.ndarray, guests: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(homes: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that join the same fingerprints as all pairs within ``radius`` do: (left, right)."""
     for i in range(0, len(homes), 256):
         part = homes[i : i + 256]
-        others = [homes[i:]] if same else []
-        for rows in (*others, guests):
+        for rows in (homes[i:], guests):
             for k in range(0, len(rows), 4096):
                 some = rows[k : k + 4096]
                 match = distance(some[:, None], part[None, :], WHOLE) <= radius
@@ -153,45 +149,20 @@ def close_pairs(homes: np.ndarray, guests: np.ndarray, radius: int, same: bool)
                 yield some[some_hit], part[first[some_hit]]
 
 
-def all_pairs(homes: np.ndarray, guests: np.ndarray, radius: int, same: bool, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within ``radius``; with ``later``, those that the first half's forest has not found.
-    Only in a block where rows have more than DENSE partners on average does each row keep its
-    NEAREST closest ones, so that a group of copies gives pairs in proportion to its size."""
-    for i in range(0, len(homes), 256):
-        part = homes[i : i + 256]
-        for rows in (homes[i:], guests) if same else (guests,):
-            for k in range(0, len(rows), 4096):
-                some = rows[k : k + 4096]
-                far = distance(some[:, None], part[None, :], WHOLE)
-                match = (far <= radius) & (far > 0)
-                if later and match.any():
-                    match &= distance(some[:, None], part[None, :], HALVES[0]) > radius // 2
-                if np.count_nonzero(match) > DENSE * len(some) and len(part) > NEAREST:
-                    closest = np.argpartition(np.where(match, far, 255), NEAREST - 1, axis=1)[:, :NEAREST]
-                    kept = np.zeros_like(match)
-                    np.put_along_axis(kept, closest, True, axis=1)
-                    match &= kept
-                at, home = np.nonzero(match)
-                if len(at):
-                    yield some[at], part[home]
-
-
-def search(homes: np.ndarray, guests: np.ndarray, half: np.uint64, radius: int, leaf=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among homes, and between homes and guests, by a tree grown on the homes; ``leaf``
-    (``close_pairs`` unless given) takes what is not split further."""
-    leaf = leaf or close_pairs
+def search(homes: np.ndarray, guests: np.ndarray, half: np.uint64, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among homes, and between homes and guests, by a tree grown on the homes."""
     stack = [(homes, guests, half, radius // 2)]
     while stack:
         homes, guests, mask, t = stack.pop()
         if len(homes) <= LEAF:
-            yield from leaf(homes, guests, radius, True)
+            yield from close_pairs(homes, guests, radius)
             continue
         split = choose_split(homes, mask, t)
         if split is None:
             if mask != WHOLE:
                 stack.append((homes, guests, WHOLE, radius))
             else:
-                yield from leaf(homes, guests, radius, True)
+                yield from close_pairs(homes, guests, radius)
             continue
         vantage, r = split
         dh, dg = distance(homes, vantage, mask), distance(guests, vantage, mask)
@@ -200,26 +171,6 @@ def search(homes: np.ndarray, guests: np.ndarray, half: np.uint64, radius: int,
         stack.append((homes[~inside], np.concatenate([homes[inside & (dh > r - t)], guests[dg > r - t]]), mask, t))
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its tree) for the nodes of a list of links, roots left out."""
-    nodes, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
-    parent = list(range(len(nodes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in set(zip(ends[: len(left)].tolist(), ends[len(left) :].tolist())):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    roots = np.fromiter((root(i) for i in range(len(nodes))), np.int64, len(nodes))
-    moved = roots != np.arange(len(nodes))
-    return nodes[moved], nodes[roots[moved]]
-
-
 # -- distributed search ---------------------------------------------------------------------------
 
 ROUTED = "forest int, shard long, home_block int, guest_block int, guest boolean, fp long"
@@ -232,11 +183,9 @@ def fingerprint_links(
     shard_rows: int = 65536,
     block_rows: int = 524288,
     sample_rows: int = 1 << 17,
-    pairs: bool = False,
 ) -> DataFrame:
     """(a, b) links between the distinct fingerprints of ``fps.fp`` whose components are those of
-    all pairs within ``radius`` bits; with ``pairs`` the pairs themselves (see ``all_pairs``).
-    ``fps`` must be materialised: it is read several times."""
+    all pairs within ``radius`` bits.  ``fps`` must be materialised: it is read several times."""
     spark = fps.sparkSession
     total = fps.count()
     leaves = max(1, -(-total // shard_rows))
@@ -283,30 +232,35 @@ def fingerprint_links(
     def links(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
         guest = table.column("guest").to_numpy()
-        number = table.column("forest")[0].as_py()
-        half = HALVES[number]
-        leaf = partial(all_pairs, later=number > 0) if pairs else None
-        found = list(search(fp[~guest], fp[guest], half, radius, leaf))
-        left = np.concatenate([x for x, _ in found]) if found else fp[:0]
-        right = np.concatenate([x for _, x in found]) if found else fp[:0]
-        a, b = left.view(np.int64), right.view(np.int64)
-        if pairs:
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            a, b = both[:, 0].copy(), both[:, 1].copy()
-        else:
-            a, b = forest(a, b)
+        half = HALVES[table.column("forest")[0].as_py()]
+        # signed, so that the smallest node is the one that SQL finds
+        found = search(fp[~guest], fp[guest], half, radius)
+        a, b = merged((x.view(np.int64), y.view(np.int64)) for x, y in found)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return routed(blocks).groupBy("forest", "shard", "home_block", "guest_block").applyInArrow(links, "a long, b long")
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b), root being its component's smallest node.
+#: Links up to which one task on an executor finds their components (16 bytes each).
+LOCAL_LINKS = 1 << 17
+
+
+def connected(links: DataFrame, rounds: int = 60, cut=cut, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(node, root) of every node of ``links`` (a, b) but the roots themselves, a root being its
+    component's smallest node.
+
+    Alternates large-star and small-star until the links no longer change, or are so few that one
+    task can end it."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in merged(parts)], names=["node", "root"])
 
-    Alternates large-star and small-star until the links no longer change."""
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    known = None
+    known = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
     for _ in range(rounds):
+        if known.n <= local_links:
+            return links.coalesce(1).mapInArrow(local, "node long, root long")
         both = links.union(links.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
@@ -316,11 +270,9 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         links = cut(small.where("a <> b").distinct())
         state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if state == known:
-            break
+            return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
         known = state
-    else:
-        raise RuntimeError("components did not settle")
-    return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    raise RuntimeError("components did not settle")
 
 
 def _classes(marks: DataFrame, radius: int, shard_rows: int, block_rows: int) -> DataFrame:
@@ -347,33 +299,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, radius:
     return marks.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of word pairs mostly lie within so many bits where five-word shingles are 0.8 similar.
-PAIR_WIDTH, PAIR_RADIUS = 2, 9
-#: Least and most bits of a set's parities; texts sampled for the order of shingles, and how many common ones it knows.
-BITS, SAMPLED_TEXTS, COMMON = (512, 1 << 16), 8192, 1 << 16
-#: Keys of a block of the shingle index, and rows of its cells that are searched together.
-BLOCK_KEYS, CELL_ROWS = 512, 1024
-#: Rows of the list of texts to compare up to which it is broadcast (three longs each).
-COMPARED_ROWS = 200_000
-
-
-def shingle_hashes(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's lower-cased word shingles; a shorter text has one."""
-    ends = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=ends[1:])
-    array = np.frombuffer(b"".join(texts).lower(), np.uint8)
-    starts, stops, first = words(array, ends)
-    hashes = word_hashes(array, starts, stops)
-    at, h = windows(hashes, first, width)
-    bounds = np.searchsorted(at, first)
-    out = []
-    for r in range(len(texts)):
-        own = h[bounds[r] : bounds[r + 1]]
-        if not len(own) and first[r] < first[r + 1]:
-            own = runs(hashes, first[r : r + 1], first[r + 1 : r + 2], LANE_BASES[0])
-        out.append(np.unique(own))
-    return out
+#: Fingerprints of the words' pairs; how far apart those of a group may be that is checked at once.
+PAIR_WIDTH, PAIR_RADIUS = 2, 6
 
 
 def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -384,231 +311,63 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
                 texts = list(utf8_values(part.column("text")))
-                sets = shingle_hashes(texts)
+                sets = shingles.shingle_hashes(texts)
                 fps = np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64)
                 sizes = np.array([len(x) for x in sets], np.int64)
-                columns = [pa.array(fps), pa.array(set_keys(sets)), pa.array(sizes), pa.array(parities(sets), pa.binary())]
+                columns = [pa.array(fps), pa.array(shingles.set_keys(sets)), pa.array(sizes), pa.array(shingles.parities(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *columns], names=["doc_id", "mark", "fp", "key", "n", "bits"])
 
     return bounded(docs.select("doc_id", "mark", "text")).mapInArrow(run, "doc_id long, mark long, fp long, key long, n long, bits binary")
 
 
-def set_keys(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-
-
-def parities(sets: list[np.ndarray]) -> list[bytes]:
-    """Packed bits of each set, twice its size of them in a power of two within ``BITS``: of how many
-    of its hashes fall on a place, whether that is odd.  Two sets' bits, the longer folded to the
-    shorter, differ in at most as many places as there are hashes that only one set has."""
-    out = []
-    for x in sets:
-        width = min(BITS[1], max(BITS[0], 1 << (2 * len(x)).bit_length()))
-        place = ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(width - 1)
-        out.append(np.packbits((np.bincount(place.astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes())
-    return out
-
-
-def apart(flat: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many places the parities of rows ``x`` and ``y`` differ; row r has the words from
-    ``first[r]`` to ``first[r + 1]`` of ``flat``.  Lengths that differ by more than double count 0."""
-    wx, wy = first[x + 1] - first[x], first[y + 1] - first[y]
-    out, low = np.zeros(len(x), np.int64), np.minimum(wx, wy)
-    for m in np.unique(low).tolist():
-        some = np.flatnonzero((low == m) & (np.maximum(wx, wy) <= 2 * m))
-        for part in np.split(some, range(1 << 11, len(some), 1 << 11)):
-            sides = []
-            for rows, words_of in ((x[part], wx[part]), (y[part], wy[part])):
-                at = first[rows][:, None] + np.arange(m)
-                own, long = flat[at], words_of > m
-                own[long] ^= flat[at[long] + m]
-                sides.append(own)
-            out[part] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
-    return out
-
-
-def similar_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) of keys whose texts' shingle sets have at least this Jaccard
-    similarity.  ``docs`` has own_id, mark, text; ``reps`` (key, rep_id, rep_mark) names a text of each."""
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    asked = cut(asked.join(reps, "key"))
-    side = F.broadcast(asked) if asked.count() <= COMPARED_ROWS else asked
-    same = F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("mark") == F.col("rep_mark"))
-    texts = docs.join(side, same).select("key", "text")
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 18):
-                sets = [x.tobytes() for x in shingle_hashes(list(utf8_values(part.column("text"))))]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.binary())], names=["key", "shingles"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "x", 1 << 20):
-                keep = []
-                for x, y in zip(utf8_values(part.column("x")), utf8_values(part.column("y"))):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(shared >= similarity * (len(x) + len(y) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # rows that repeat a text give its set again; one of them stays
-    sets = bounded(texts).mapInArrow(shingles, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "shingles")
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return bounded(both).mapInArrow(verify, "a long, b long")
-
-
-# -- shingle index --------------------------------------------------------------------------------
-
-
-def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles that several texts of a bounded sample share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 18):
-                sets = shingle_hashes(list(utf8_values(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
-
-    some = docs.where(F.pmod("mark", F.lit(max(1, total // SAMPLED_TEXTS))) == 0).select("text")
-    counts = bounded(some).mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
-    tokens = found.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], found.column("n").to_numpy()[order]
-
-
-def prefixes(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], similarity: float) -> list[np.ndarray]:
-    """Of each set the first hashes in one order of all hashes (rare before common ones), so many
-    that any two sets of at least this similarity have one of them in common."""
-    tokens, counts = common
-    out = []
-    for x in sets:
-        size = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
-        if len(tokens) and size:
-            at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-            weight = np.where(tokens[at] == x, counts[at], 0)
-            x = x if not weight[:size].any() else x[np.argsort(weight, kind="stable")]
-        out.append(x[:size])
-    return out
-
-
-def shared_prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float, total: int, shingles: int) -> DataFrame:
-    """(token, key, size): every hash that the prefixes of ``size`` > 1 keys hold, with each of them."""
-    buckets = max(64, round(shingles * (1 - similarity) + total) >> 17)
-    known = docs.sparkSession.sparkContext.broadcast(common)
-
-    def packed(tokens: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
-        t, k = np.concatenate(tokens), np.concatenate(keys)
-        bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        pairs = np.stack([t.view(np.int64)[order], k[order]], axis=1)
-        found, at = np.unique(bucket[order], return_index=True)
-        rows = [x.tobytes() for x in np.split(pairs, at[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows, pa.binary())], names=["bucket", "pairs"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, keys, held, seen = [], [], 0, set()
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 18):
-                sets = shingle_hashes(list(utf8_values(part.column("text"))))
-                own = set_keys(sets)
-                fresh = [i for i, k in enumerate(own.tolist()) if len(sets[i]) and not (k in seen or seen.add(k))]
-                found = prefixes([sets[i] for i in fresh], known.value, similarity)
-                tokens += found
-                keys += [np.full(len(x), own[i]) for i, x in zip(fresh, found)]
-                held += sum(map(len, found))
-                if held >= 1 << 18:
-                    yield packed(tokens, keys)
-                    tokens, keys, held, seen = [], [], 0, set()
-        if held:
-            yield packed(tokens, keys)
-
-    def shared(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, np.int64).reshape(-1, 2) for c in table.column("pairs").chunks for x in utf8_values(c)]
-        pairs = np.concatenate(rows)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
-        _, which, sizes = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-        size = sizes[which]
-        pairs, size = pairs[size > 1], size[size > 1]
-        return pa.table({"token": pa.array(pairs[:, 0].copy()), "key": pa.array(pairs[:, 1].copy()), "size": pa.array(size)})
-
-    return bounded(docs.select("text")).mapInArrow(run, "bucket long, pairs binary").groupBy("bucket").applyInArrow(shared, "token long, key long, size long")
-
-
-def candidates(table: pa.Table, similarity: float) -> pa.Table:
-    """(a, b) keys of one cell and different roots whose sizes and parities allow the similarity."""
-    column = lambda name: table.column(name).to_numpy()
-    order = np.argsort(column("cell"), kind="stable")
-    cell, key, root, n, block, diagonal = (column(x)[order] for x in ("cell", "key", "root", "n", "block", "diagonal"))
-    bits = [x for c in table.column("bits").chunks for x in utf8_values(c)]
-    flat = np.frombuffer(b"".join(bits[i] for i in order.tolist()), np.uint64)
-    first = np.concatenate([[0], np.cumsum([len(bits[i]) // 8 for i in order.tolist()])])
-    at, step, found = np.arange(len(cell)), 0, [np.zeros((0, 2), np.int64)]
-    while len(at):
-        step += 1
-        at = at[: np.searchsorted(at, len(cell) - step)]
-        at = at[cell[at] == cell[at + step]]
-        x = at[(root[at] != root[at + step]) & (diagonal[at] | (block[at] != block[at + step]))]
-        y = x + step
-        total, low = n[x] + n[y], np.minimum(n[x], n[y])
-        # sets of that similarity share at least similarity / (1 + similarity) of their sizes' sum
-        near = low + 1e-6 >= similarity * (total - low)
-        x, y, most = x[near], y[near], (total * (1 - similarity) / (1 + similarity) + 1e-6)[near]
-        near = apart(flat, first, x, y) <= most
-        x, y = x[near], y[near]
-        found.append(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
-
-
-def indexed_pairs(docs: DataFrame, classes: DataFrame, similarity: float, block_keys: int = BLOCK_KEYS) -> DataFrame:
-    """All pairs (a, b) of keys with different roots that can have the similarity: sets that have it
-    share a hash of their prefixes.  ``classes`` (key, root, n, bits) must be materialised.  Keys of
-    a hash held by more than ``block_keys`` meet in one cell for each two blocks of them."""
-    total, shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    held = written(shared_prefixes(docs, common_shingles(docs, total), similarity, total, shingles), "prefixes")
-    blocks = F.ceil(F.col("size") / block_keys)
-    block = F.pmod(F.xxhash64("key"), blocks)
-    held = held.select("token", "key", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    cell = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
-    rows = held.select("key", "block", (F.col("block") == F.col("other")).alias("diagonal"), cell.alias("cell")).join(classes, "key")
-    rows = written(rows, "cells")
-    shards = max(1, rows.count() // CELL_ROWS)
-    names = [F.col(c) for c in ("cell", "diagonal", "block", "key", "root", "n", "bits")]
-    sharded = rows.select(F.pmod(F.xxhash64("cell"), F.lit(shards)).alias("shard"), *names)
-    return sharded.groupBy("shard").applyInArrow(lambda table: candidates(table, similarity), "a long, b long").distinct()
-
-
-def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, width: int = PAIR_WIDTH, seed: int = 42, radius: int = PAIR_RADIUS, shard_rows: int = 65536, block_rows: int = 524288) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    *,
+    similarity: float = shingles.SIMILARITY,
+    width: int = PAIR_WIDTH,
+    seed: int = 42,
+    radius: int = PAIR_RADIUS,
+    shard_rows: int = 65536,
+    block_rows: int = 524288,
+    block_keys: int = shingles.BLOCK_KEYS,
+    block_shingles: int = shingles.BLOCK_SHINGLES,
+) -> DataFrame:
     """Exactly one row of ``docs`` for each group of near duplicates, with all its columns: that
     with the smallest doc_id (null last), ties by a hash of the text; of repeated rows one stays.
 
     Groups are the components of all pairs whose five-word shingles have at least this Jaccard
-    similarity, checked exactly.  Pairs are proposed twice: by fingerprints of word pairs within
-    ``radius`` bits, which joins most copies at little cost, and then, between texts not joined yet,
-    by an index of shingles that misses none.  Texts with the same shingles are one group, whatever
+    similarity, checked exactly; they depend on no order of rows and on no other parameter.  First
+    the components of fingerprints of word pairs within ``radius`` bits are checked, which joins
+    most copies at little cost.  Then an index of shingles, which misses no pair, proposes what may
+    be similar between texts not joined yet.  Texts with the same shingles are one group, whatever
     their fingerprints.  Null and blank texts are alike."""
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark")
-    marks = cut(signatures(docs.select("doc_id", "text", mark), width, seed))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n", "bits")).alias("k")
-    reps = cut(marks.groupBy("key").agg(F.min("fp").alias("fp"), first))
-    named = reps.select("key", F.col("k.doc_id").alias("rep_id"), F.col("k.mark").alias("rep_mark"))
-    texts, sizes = docs.select(F.col("doc_id").alias("own_id"), mark, "text"), {"shard_rows": shard_rows, "block_rows": block_rows}
-    heads = cut(reps.groupBy("fp").agg(F.min("key").alias("head")))
-    pairs = fingerprint_links(heads.select("fp"), radius, pairs=True, **sizes).distinct()
-    pairs = pairs.join(heads.toDF("a", "left"), "a").join(heads.toDF("b", "right"), "b").select(F.col("left").alias("a"), F.col("right").alias("b"))
-    alike = reps.join(heads, "fp").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    nodes = connected(similar_pairs(texts, named, written(pairs.union(alike), "pairs"), similarity))
-    joined = cut(reps.join(nodes, reps.key == nodes.node, "left").select("key", F.coalesce("root", "key").alias("root"), "k"))
-    pairs = written(indexed_pairs(texts, joined.select("key", "root", "k.n", "k.bits"), similarity), "pairs")
-    links = joined.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b")
-    nodes = connected(links.union(similar_pairs(texts, named, pairs, similarity)))
-    classes = reps.join(nodes, reps.key == nodes.node, "left").select(F.coalesce("root", "key").alias("root"), "k")
-    kept = classes.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
+    texts = docs.select(F.col("doc_id").alias("own_id"), mark, "text")
+    weight = F.greatest("n", F.lit(shingles.LEAST_SHINGLES))
+    with scratch(docs.sparkSession) as keep:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n", "bits")).alias("k")
+        marks = signatures(docs.select("doc_id", "text", mark), width, seed)
+        reps = keep(marks.groupBy("key").agg(F.min("fp").alias("fp"), first), "reps")
+        named = reps.select("key", F.col("k.doc_id").alias("rep_id"), F.col("k.mark").alias("rep_mark"))
+
+        fps = keep(reps.select("fp").distinct(), "fingerprints")
+        near = connected(fingerprint_links(fps, radius, shard_rows=shard_rows, block_rows=block_rows), cut=keep)
+        groups = reps.join(near, reps.fp == near.node, "left").select(F.coalesce("root", "fp").alias("group"), "key", F.col("key").alias("root"), "k.n")
+        cells = shingles.dealt_twice(groups, weight, block_shingles)
+        nodes = connected(shingles.similar_links(texts, named, cells, similarity, keep), cut=keep)
+        classes = keep(reps.join(nodes, reps.key == nodes.node, "left").select("key", F.coalesce("root", "key").alias("root"), "k.n", "k.bits"), "classes")
+
+        links = keep(shingles.proposed_links(texts, classes, similarity, keep, block_keys), "proposed")
+        nodes = connected(links, cut=keep)
+        met = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+        met = met.join(nodes, met.key == nodes.node, "left").select("key", F.coalesce("root", "key").alias("group"))
+        cells = shingles.dealt(met.join(classes.select("key", "root", "n"), "key"), weight, block_shingles)
+        links = shingles.similar_links(texts, named, cells, similarity, keep)
+        nodes = connected(classes.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(links), cut=keep)
+
+        found = reps.join(nodes, reps.key == nodes.node, "left").select(F.coalesce("root", "key").alias("root"), "k.unnamed", "k.doc_id", "k.mark")
+        kept = found.groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", "mark")).alias("k"))
+        kept = written(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark")), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), mark)
     same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
     numbered = rows.join(kept, same, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("own_id", "mark").orderBy("mark")))
