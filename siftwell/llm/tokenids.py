@@ -3,7 +3,8 @@
 Both supported kinds split a text into pre-tokens before merging, and a single space between two
 other characters always starts a new pre-token.  So a text is the sequence of its chunks, and a
 chunk's ids do not depend on its neighbours; each distinct chunk is encoded once per worker.  A
-text in which a space has white space on both sides is encoded whole instead.
+text in which a space has white space on both sides, or which may hold a special token, is encoded
+whole instead.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import compress
+from itertools import compress, takewhile
 
 import numpy as np
 
@@ -29,16 +30,24 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _HEAD = " "
 
 
+def _plain(letters: str) -> bool:
+    """Whether letters stay letters in lower case (that of U+0130 ends in a combining mark, which a
+    stop joins) and are old enough for all tables of letters to agree."""
+    return letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters
+
+
 class ChunkEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes, without
-    special tokens; strings that look like special tokens are ordinary text."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes, as the library
+    does with ``add_special_tokens=False``: none is added, those written in a text are found."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # what any added token starts with, up to its first letter, which a normalizer might change
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = {"".join(takewhile(lambda c: c.lower() == c.upper(), t)) for t in added}
         self.drops_space = self.tokenizer.normalizer is not None
         vocabulary = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
         # what a token adds to its chunk: a finished pre-token, or its bytes
@@ -58,7 +67,7 @@ class ChunkEncoder:
         """What each chunk's tokens add up to; 0 if it has to be encoded by itself."""
         if not self.drops_space:  # the space before it, and its bytes
             return [len(b) + 1 if b and not c[0].isspace() else 0 for c, b in zip(chunks, map(str.encode, chunks))]
-        return [1 if c.isalpha() and (c.isascii() or max(c) < "\u0250" and "\u0130" not in c) else 0 for c in chunks]
+        return [1 if c.isalpha() and _plain(c) else 0 for c in chunks]
 
     def _joined(self, chunks: list[str], weights: list[int]) -> list[bytes]:
         """Ids of chunks from one encoding of many, told apart by their weights."""
@@ -73,13 +82,13 @@ class ChunkEncoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Encode new chunks; one that ends in a stop after a letter takes the ids of its word.
+        """Encode new chunks; one that ends in a stop after a plain letter takes the ids of its word.
         Chunks over a line end hardly ever come again: they are returned and not kept."""
         cache, stops = self.cache, self.stops
         lines = {} if self.drops_space else self._lines(missing)
         missing.difference_update(lines)
         missing.update([part for pair in lines.values() for part in pair if part not in cache])
-        stopped = [c for c in missing if c[-1:] in stops and c[-2:-1].isalpha() and c[0] != _HEAD]
+        stopped = [c for c in missing if c[-1:] in stops and c[-2:-1].isalpha() and _plain(c[-2]) and c[0] != _HEAD]
         missing.difference_update(stopped)
         missing.update([c for c in [c[:-1] for c in stopped] if c not in cache])
         heads = [] if self.drops_space else [c for c in missing if c[:1] == _HEAD]
@@ -145,6 +154,15 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if odd:
+            out = self._chunked([t for t in texts if not any(s in t for s in self.special)])
+            for i, whole in zip(odd, self.whole([texts[i] for i in odd])):
+                out.insert(i, whole)
+            return out
+        return self._chunked(texts)
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
         if all(len(t) <= SEGMENT_CHARS for t in texts):
             return self._encode(texts)
         out = []
