@@ -13,6 +13,7 @@ a walk rooted at r reaches it iff that number is below r's.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -52,7 +53,7 @@ _ASCII_SPACE = " \n\t\f\r"
 
 
 class Element:
-    __slots__ = ("attrs", "depth", "end", "link", "parent", "plain", "pre", "s0", "s1", "size", "stop1", "stop2", "strip", "tag", "weight", "noise")
+    __slots__ = ("attrs", "depth", "end", "link", "noise", "parent", "pre", "root", "s0", "s1", "stop1", "stop2", "strip", "tag", "weight")
 
     def __init__(self, pre: int, tag: str, attrs: dict[str, str], parent: Element | None, s0: int):
         self.pre, self.tag, self.attrs, self.parent, self.s0 = pre, tag, attrs, parent, s0
@@ -64,6 +65,8 @@ class Element:
             walls1 = p.tag in NOISE_TAGS or p.tag in CONTENT_TAGS or p.tag == "table" or p.noise
             walls2 = p.tag in NOISE_TAGS or p.tag in CONTENT_TAGS or p.noise
             self.stop1, self.stop2 = p.pre if walls1 else p.stop1, p.pre if walls2 else p.stop2
+        # the innermost element, this one included, that a walk may start at
+        self.root = pre if tag in CONTAINER_TAGS or tag == "body" or not parent or attrs.get("role") == "main" else parent.root
         self.link = self.strip = 0
         self.weight = 0.0
 
@@ -87,14 +90,15 @@ class TreeBuilder(HTMLParser):
         self.pending: list[str] = []
         self.strings: list[tuple[str, int, bool]] = []  # stripped, unstripped length, plain
         self.closed_voids: list[str] = []
+        self.open_tags: Counter[str] = Counter()
 
     def _flush(self) -> None:
         if not self.pending:
             return
         text, self.pending = "".join(self.pending), []
-        if not text.strip(_ASCII_SPACE) and not any(e.tag in ("pre", "textarea") for e in self.open):
+        if not text.strip(_ASCII_SPACE) and not (self.open_tags["pre"] or self.open_tags["textarea"]):
             text = "\n" if "\n" in text else " "
-        plain = not any(e.tag in OWN_STRINGS for e in self.open)
+        plain = not any(self.open_tags[tag] for tag in OWN_STRINGS)
         self.strings.append((text.strip(), len(text), plain))
 
     def _close(self, element: Element) -> None:
@@ -115,13 +119,17 @@ class TreeBuilder(HTMLParser):
         element = Element(len(self.elements), tag, {k: v or "" for k, v in attrs}, self.open[-1], len(self.strings))
         self.elements.append(element)
         self.open.append(element)
+        self.open_tags[tag] += 1
 
     def _pop(self, tag: str) -> None:
         self._flush()
+        if not self.open_tags[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 for element in self.open[i:]:
                     self._close(element)
+                    self.open_tags[element.tag] -= 1
                 del self.open[i:]
                 return
 
@@ -230,6 +238,8 @@ def page(html: str | None) -> dict:
     tree, out = parse(html), []
     for e in tree.elements:
         content, table = e.tag in CONTENT_TAGS, e.tag == "table"
+        if content and e.root <= e.stop2:
+            continue  # inside a content element that every walk takes whole; its text is in that one's
         if not (content or table or e.tag in CONTAINER_TAGS or e.tag in ("[document]", "body") or e.attrs.get("role") == "main"):
             continue
         out.append(

@@ -177,7 +177,9 @@ def cascade(l1: Column, l2: Column, l3: Column) -> Column:
 
 
 def with_nodes(pages: DataFrame, elements: str = "dom.elements") -> DataFrame:
-    """``pages`` with l1, l2, l3 and ``nodes``."""
+    """``pages`` with l1, l2, l3 and ``nodes``; l2 and l3 are null where a layer before them covers
+    the page, and are not computed there."""
     e = F.col(elements)
-    layers = pages.withColumns({"l1": l1_nodes(e), "l2": l2_nodes(e), "l3": l3_nodes(e)})
+    layers = pages.withColumn("l1", l1_nodes(e)).withColumn("l2", F.when(~covered(F.col("l1")), l2_nodes(e)))
+    layers = layers.withColumn("l3", F.when(~covered(F.col("l1")) & ~covered(F.col("l2")), l3_nodes(e)))
     return layers.withColumn("nodes", cascade(F.col("l1"), F.col("l2"), F.col("l3")))

@@ -6,7 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,22 +22,27 @@ def ttl_hits(requests: DataFrame, key: str, at: Column, ttl: float = TTL, order:
     """``requests`` reduced to (key, order, hit): a hit comes less than ``ttl`` seconds after the
     last miss of its key; hits do not prolong an entry.
 
-    The fold is per key.  A key's log is first cut where a gap of ``ttl`` or more makes a miss
-    certain, so even a hot key is folded in independent sessions."""
+    A key's log is one ordered stream, read row by row with one number of state, so a hot key costs
+    time in one task but no memory."""
     seconds = at.cast("timestamp").cast("double")
     log = requests.select(F.col(key), F.col(order), seconds.alias("t"))
-    own = Window.partitionBy(key).orderBy("t", order)
-    gap = F.coalesce(F.col("t") - F.lag("t").over(own) >= ttl, F.lit(True)).cast("long")
-    sessions = log.withColumn("session", F.sum(gap).over(own)).groupBy(key, "session").agg(F.array_sort(F.collect_list(F.struct("t", order))).alias("log"))
-
-    def step(a: Column, x: Column) -> Column:
-        hit = (F.lit(ttl) > 0) & F.coalesce(x["t"] < a["until"], F.lit(False))
-        until = F.when(hit, a["until"]).otherwise(x["t"] + ttl)
-        return F.struct(until.alias("until"), F.array_append(a["out"], F.struct(x[order].alias(order), hit.alias("hit"))).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("double").alias("until"), F.array().cast(f"array<struct<{order}:bigint,hit:boolean>>").alias("out"))
-    folded = sessions.select(key, F.explode(F.aggregate("log", zero, step, lambda a: a["out"])).alias("x"))
-    return folded.select(key, f"x.{order}", "x.hit")
+    kinds = dict(log.dtypes)
+    ordered = log.repartition(key).sortWithinPartitions(key, "t", order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, until = None, float("-inf")
+        for frame in frames:
+            hits, keys = [], frame[key]
+            if keys.isna().any():  # nulls are one key
+                keys = keys.astype(object).where(keys.notna(), None)
+            for k, t in zip(keys, frame["t"]):
+                if k != current:
+                    current, until = k, float("-inf")
+                hits.append(ttl > 0 and t < until)
+                until = until if hits[-1] else t + ttl
+            yield pd.DataFrame({key: frame[key], order: frame[order], "hit": hits})
+
+    return ordered.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, hit boolean")
 
 
 def lru_cache(requests: DataFrame, key: str, at: Column, *, ttl: float = TTL, max_size: int = MAX_SIZE, shard: str | None = None, order: str = "event_id") -> DataFrame:

@@ -14,10 +14,6 @@ from pyspark.sql import Column
 from pyspark.sql.pandas.functions import arrow_udf
 
 # How tags are rendered.
-WRAPPERS = {
-    "MaxWidth", "Intro", "Note", "Callout", "CanaryBadge", "Canary", "Deprecated", "Experimental", "Added", "Wip", "CodeStep", "div", "section",
-    "article", "main", "aside", "header", "footer", "nav", "figure", "figcaption", "details", "summary",
-}
 SKIPPED = {"InlineToc", "Meta", "SandpackWithHTMLOutput"}
 INLINE = {"code", "strong", "b", "em", "i", "a", "span", "small", "sup", "sub", "mark"}
 INLINE_MARKS = {"code": "`", "strong": "**", "b": "**", "em": "_", "i": "_"}
@@ -83,6 +79,11 @@ def single_blanks(lines: list[str]) -> list[str]:
     return [line for i, line in enumerate(lines) if line.strip() or i == 0 or lines[i - 1].strip()]
 
 
+def sound(text: str) -> str:
+    """Text with lone surrogates, which JSON can hold and UTF-8 can not, as question marks."""
+    return text.encode("utf-8", "replace").decode()
+
+
 def render(payload: str | None) -> dict | None:
     """struct(markdown, title, meta_desc) of a payload; None if it holds no page of 100 characters."""
     try:
@@ -97,7 +98,8 @@ def render(payload: str | None) -> dict | None:
             return None
         anchors = [m for m in map(ANCHOR.match, lines) if m]
         title = next((m[2].strip() for m in anchors if len(m[1]) == 1), None) or (anchors[0][2].strip() if anchors else "")
-        return {"markdown": markdown, "title": title, "meta_desc": props.get("description") or ""}
+        about = props.get("description") or ""
+        return {"markdown": sound(markdown), "title": sound(title), "meta_desc": sound(about if isinstance(about, str) else json.dumps(about))}
     except (KeyError, TypeError, ValueError, AttributeError, RecursionError):
         return None
 

@@ -30,11 +30,13 @@ def prune(pages: DataFrame, query: Column | str = "", *, budget: int = BUDGET, k
 
     ``query`` is a string or a column; blank leaves ``bm25_confidence`` null.  A static page gives
     its rendered payload unless the query selects sections of its elements.  Null html counts as an
-    empty page.  ``keep`` names further columns to carry along.  Timings are 0: a row of a
-    distributed plan has no clock of its own.
+    empty page; where ``pages`` has ``fetch_error``, a page that failed to load has that error.
+    ``keep`` names further columns to carry along.  Timings are 0: a row of a distributed plan has
+    no clock of its own.
     """
     text = F.lit(query) if isinstance(query, str) else query
-    page = pages.select(*[F.col(c) for c in keep], "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(text, F.lit("")).alias("asked"))
+    failed = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")
+    page = pages.select(*[F.col(c) for c in keep], failed.alias("failed"), "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(text, F.lit("")).alias("asked"))
     page = page.withColumn("payload", ssg_payload(F.col("html")))
     page = page.withColumns({"kind": render_type(F.col("html"), F.col("payload")), "original_tokens": estimate_tokens(F.col("html"))})
     # only static pages have a payload to render; the dom column replaces html from here on
@@ -58,14 +60,17 @@ def prune(pages: DataFrame, query: Column | str = "", *, budget: int = BUDGET, k
         confidence.alias("bm25_confidence"),
         F.lit(False).alias("cached"),
         meta(F.col("dom.meta")).alias("meta"),
-        F.when(strip(F.col("markdown")) == "", F.concat(F.lit(NO_CONTENT), F.coalesce("url", F.lit("")))).alias("error"),
+        F.coalesce("failed", F.when(strip(F.col("markdown")) == "", F.concat(F.lit(NO_CONTENT), F.coalesce("url", F.lit(""))))).alias("error"),
     )
 
 
 def checked(results: DataFrame, ignore_errors: bool = True) -> DataFrame:
     """Results without failed rows, or with the first failure raised."""
     if ignore_errors:
-        return results.where("error IS NULL").drop("error")
+        # the partition number is not deterministic, so the filter stays above the extraction; pushed
+        # below it the filter would parse each page again
+        fenced = results.withColumn("fence", F.spark_partition_id())
+        return fenced.where(F.col("error").isNull() & (F.col("fence") >= 0)).drop("error", "fence")
     markdown = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("markdown"))
     return results.withColumn("markdown", markdown).drop("error")
 

@@ -5,6 +5,7 @@ Options: ``urls`` (one per line), ``partitions``, ``timeout``.  The fetcher is p
 
 from __future__ import annotations
 
+import http.client
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -53,7 +54,7 @@ def fetch(url: str, timeout: float = 15.0, get: Get = http_get, browser: Callabl
     for agent in USER_AGENTS:
         try:
             status, text, final = get(url, {"User-Agent": agent, "Accept-Language": LANGUAGES}, timeout)
-        except OSError:
+        except (OSError, http.client.HTTPException):
             continue
         if status in REFUSED:
             continue

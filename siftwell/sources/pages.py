@@ -18,8 +18,9 @@ def url_list(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
 
 
 def load_one(pages: DataFrame, url: str, query: str = "") -> DataFrame:
-    """The document of one URL; a failure is raised."""
-    return documents(checked(prune(pages.where(F.col("url") == url), query), ignore_errors=False))
+    """The document of one URL; a failure is raised, also that there is no such page."""
+    asked = pages.sparkSession.createDataFrame([(url,)], "url string")
+    return load_batch(pages.where(F.col("url") == url), asked, query, ignore_errors=False)
 
 
 def markdown_of(pages: DataFrame, url: str, query: str = "") -> DataFrame:
@@ -27,15 +28,25 @@ def markdown_of(pages: DataFrame, url: str, query: str = "") -> DataFrame:
     return load_one(pages, url, query).select(F.col("page_content").alias("markdown"))
 
 
+def asked_for(urls: DataFrame, pages: DataFrame, ignore_errors: bool) -> DataFrame:
+    """``urls`` with their pages; unless errors are ignored, one without a page stays with an error."""
+    if ignore_errors:
+        return urls.join(pages, "url")
+    found = urls.join(pages.withColumn("there", F.lit(True)), "url", "left")
+    known = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None)
+    return found.withColumn("fetch_error", F.when(F.col("there").isNull(), F.concat(F.lit("No such page: "), "url")).otherwise(known))
+
+
 def load_batch(pages: DataFrame, urls: DataFrame, query: str = "", *, ignore_errors: bool = True) -> DataFrame:
-    """Documents of listed URLs, in no order; a URL listed twice comes twice."""
-    return documents(checked(prune(urls.select("url").join(pages, "url"), query), ignore_errors))
+    """Documents of listed URLs, in no order; a URL listed twice comes twice.  One without a page,
+    or whose page failed to load, is left out, or raised if errors are not ignored."""
+    return documents(checked(prune(asked_for(urls.select("url"), pages, ignore_errors), query), ignore_errors))
 
 
 def retrieve(pages: DataFrame, urls: DataFrame, query: str, *, query_as_bm25: bool = True, ignore_errors: bool = True) -> DataFrame:
     """Documents of listed URLs (ord, url) with ``ord``, to be read in its order.  The query selects
     sections only if ``query_as_bm25``; all pages come back, there is no ranking across pages."""
-    found = prune(urls.select("ord", "url").join(pages, "url"), query if query_as_bm25 else "", keep=("ord",))
+    found = prune(asked_for(urls.select("ord", "url"), pages, ignore_errors), query if query_as_bm25 else "", keep=("ord",))
     return documents(checked(found, ignore_errors), "ord").orderBy("ord")
 
 

@@ -12,12 +12,13 @@ from siftwell.sources.pages import load_batch, matches_prefix
 
 
 def _locations(xml, kind: str):
-    found = F.xpath(xml, F.lit("/urlset/url/loc/text()" if kind == "urlset" else "/sitemapindex/sitemap/loc/text()"))
+    found = F.xpath(xml, F.lit("/*/url/loc/text()" if kind == "urlset" else "/sitemapindex/sitemap/loc/text()"))
     return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
 def parse(sitemaps: DataFrame) -> DataFrame:
-    """(url, is_index, urls) of ``sitemaps`` (url, xml); malformed XML raises."""
+    """(url, is_index, urls) of ``sitemaps`` (url, xml): an index's sitemaps, or the locations below
+    any other root; malformed XML raises."""
     is_index = F.xpath_boolean("xml", F.lit("boolean(/sitemapindex)"))
     found = F.when(is_index, _locations(F.col("xml"), "sitemapindex")).otherwise(_locations(F.col("xml"), "urlset"))
     return sitemaps.select("url", is_index.alias("is_index"), found.alias("urls"))
@@ -36,12 +37,13 @@ def expand(sitemaps: DataFrame, root: str, max_depth: int | None = None) -> Data
         step = joined.select(F.array_append("ord", F.col("i")).alias("ord"), "path", "is_index", "found")
         own = step.where("NOT is_index").select("ord", F.col("found").alias("url"))
         pages = own if pages is None else pages.unionAll(own)
-        below = step.where("is_index")
-        level = below.select("ord", F.col("found").alias("at"), F.array_append("path", F.col("found")).alias("path"))
-        if level.isEmpty():
+        below = step.where("is_index").select("ord", F.col("found").alias("at"), "path", F.array_contains("path", F.col("found")).alias("again"))
+        found = below.collect()  # an index's children: as many as there are sitemap files, not pages
+        if not found:
             break
-        if max_depth is None and (again := below.where("array_contains(path, found)").first()):
-            raise ValueError(f"sitemap index below itself: {again.found}")
+        if max_depth is None and (again := next((r.at for r in found if r.again), None)):
+            raise ValueError(f"sitemap index below itself: {again}")
+        level = spark.createDataFrame([(r.ord, r.at, [*r.path, r.at]) for r in found], "ord array<int>, at string, path array<string>")
     return pages
 
 

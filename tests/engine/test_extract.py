@@ -130,7 +130,8 @@ PAGES = {
 def layers(spark):
     pages = PAGES | {f"random {i}": random_page(i) for i in range(300)}
     frame = spark.createDataFrame(list(pages.items()), "name string, html string").repartition(4)
-    rows = extract.with_nodes(parsed(frame)).select("name", "l1", "l2", "l3", "nodes").collect()
+    e = F.col("dom.elements")
+    rows = extract.with_nodes(parsed(frame)).select("name", "l1", extract.l2_nodes(e).alias("l2"), extract.l3_nodes(e).alias("l3"), "nodes").collect()
     return pages, {r.name: r for r in rows}
 
 
