@@ -13,14 +13,16 @@ own text.
 4. Settle: all rolling windows are probed against the open ones (again a filter, then an exact
    group-by), which extends each repeat to its maximum, with whichever document repeats it.
 
-Filters are broadcast while their size is at most ``filter_bytes``; beyond that nothing is filtered
-before the group-by, with the same result.  Hashes are 128 bits wide.  Groups are reduced to their
+Filters are broadcast in slices of the hash range, none above ``filter_bytes``, with a pass over the
+texts for each, so that what a pass writes stays in proportion to the repeats.  Hashes are 128 bits wide.  Groups are reduced to their
 smallest document before and in the shuffle; no pairs of documents are made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.arrowtext import bounded, slices, utf8_parts
-from siftwell.llm.storage import cut, written
+from siftwell.llm.storage import scratch, written
 from siftwell.llm.wordhash import windows, word_hashes, words
 
 WINDOW = 50
 FILTER_BYTES = 64 << 20
 #: Bytes of per-document lists up to which they are broadcast to the texts.
 LIST_BYTES = 32 << 20
-BITS_PER_KEY = 16
+#: Bits of a filter for each key, up to twice as many as sizes are powers of two.
+BITS_PER_KEY = 8
 
 
 # -- blocked Bloom filters ------------------------------------------------------------------------
@@ -50,35 +53,45 @@ def filter_bits(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def might_hold(table: np.ndarray | None, h: np.ndarray) -> np.ndarray:
-    """Whether each hash may be in the filter; without a filter all may."""
-    if table is None:
-        return np.ones(len(h), bool)
-    bits = filter_bits(h)
-    return table[h >> np.uint64(64 - (len(table).bit_length() - 1))] & bits == bits
+@dataclass
+class Slice:
+    """The filter of the hashes whose first ``bits`` bits are ``number``."""
 
+    number: int
+    bits: int
+    table: np.ndarray
 
-def build_filter(hashes: DataFrame, filter_bytes: int) -> np.ndarray | None:
-    """A blocked Bloom filter of the distinct ``hashes.h``, or None if it would be too large.  Each
-    segment is built by one task; only the finished segments come to the driver."""
-    n = hashes.count()
-    power = max(10, (n * BITS_PER_KEY // 64).bit_length())
-    if (8 << power) > filter_bytes:
-        return None
+    def might_hold(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash is of this slice and may be in the filter."""
+        own = h << np.uint64(self.bits) if self.bits else h
+        mask = filter_bits(h)
+        held = self.table[own >> np.uint64(64 - (len(self.table).bit_length() - 1))] & mask == mask
+        return held & (h >> np.uint64(64 - self.bits) == self.number) if self.bits else held
+
+
+def filter_slices(hashes: DataFrame, filter_bytes: int) -> Iterator[Slice]:
+    """A blocked Bloom filter of the distinct ``hashes.h`` (materialised), one slice of the hash range
+    after another, none above ``filter_bytes`` (8 KB at least).  Segments are built by tasks; only
+    the finished ones of a slice come to the driver."""
+    power = max(10, (hashes.count() * BITS_PER_KEY // 64).bit_length())
+    most = max(10, (filter_bytes // 8).bit_length() - 1)
+    bits, power = max(0, power - most), min(power, most)
     part = min(power, 15)  # blocks of a segment, as a power of two
 
     def segment(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
         blocks = np.zeros(1 << part, np.uint64)
-        at = (h >> np.uint64(64 - power)) & np.uint64((1 << part) - 1)
+        at = (h >> np.uint64(64 - bits - power)) & np.uint64((1 << part) - 1)
         np.bitwise_or.at(blocks, at.astype(np.int64), filter_bits(h))
         return pa.table({"seg": table.column("seg")[:1], "bits": pa.array([blocks.tobytes()], pa.binary())})
 
-    numbered = hashes.select("h", F.shiftrightunsigned("h", 64 - power + part).alias("seg") if power > part else F.lit(0).cast("long").alias("seg"))
-    table = np.zeros(1 << power, np.uint64)
-    for r in numbered.groupBy("seg").applyInArrow(segment, "seg long, bits binary").collect():
-        table[r.seg << part : (r.seg + 1) << part] = np.frombuffer(r.bits, np.uint64)
-    return table
+    segments = F.shiftrightunsigned("h", 64 - bits - power + part).bitwiseAND((1 << (power - part)) - 1) if power > part else F.lit(0).cast("long")
+    for number in range(1 << bits):
+        own = hashes.where(F.shiftrightunsigned("h", 64 - bits) == number) if bits else hashes
+        table = np.zeros(1 << power, np.uint64)
+        for r in own.select("h", segments.alias("seg")).groupBy("seg").applyInArrow(segment, "seg long, bits binary").collect():
+            table[r.seg << part : (r.seg + 1) << part] = np.frombuffer(r.bits, np.uint64)
+        yield Slice(number, bits, table)
 
 
 # -- passes over the texts ------------------------------------------------------------------------
@@ -123,9 +136,9 @@ def _over(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch], list[np
     return bounded(docs).mapInArrow(run, schema)
 
 
-def _side(lists: DataFrame, weight: str) -> DataFrame:
+def _side(lists: DataFrame, weight: str, keep: Callable = written) -> DataFrame:
     """``lists`` materialised, and broadcast if its lists are small enough in all."""
-    lists = cut(lists)
+    lists = keep(lists, "lists")
     size = lists.agg((F.sum(F.expr(weight)) + F.count("*") * 64).alias("n")).first().n or 0
     return F.broadcast(lists) if size <= LIST_BYTES else lists
 
@@ -154,36 +167,45 @@ def open_windows(n_words: int, places: list[tuple[int, int, int]], window: int)
     return settled, np.flatnonzero(wanted)
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def _probed(docs: DataFrame, schema: str, probe: Callable, slices_of: Iterator[Slice], keep: Callable, reduce_=lambda x: x) -> DataFrame:
+    """A pass over the texts for each slice of a filter; what they give is disjoint and materialised."""
+    done = []
+    for one in slices_of:
+        shared = docs.sparkSession.sparkContext.broadcast(one)
+        done.append(keep(reduce_(_over(docs, schema, lambda part, shared=shared: probe(part, shared.value))), "probed"))
+        shared.unpersist()
+    return reduce(DataFrame.unionAll, done)
+
+
+def repeated_words(docs: DataFrame, keep: Callable, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, mark, intervals) for texts with words to remove; ``docs`` has doc_id, mark, text.
-    Intervals (start, end in words) are sorted, disjoint and complete."""
+    Intervals (start, end in words) are sorted, disjoint and complete.  ``keep`` materialises."""
     if window < 2 or window % 2:
         raise ValueError("the window must be an even number of words")
-    spark, block = docs.sparkSession, window // 2
+    block = window // 2
 
     def index(part: pa.RecordBatch) -> list[np.ndarray]:
         _, position, h = Texts(part, window).windows(block)
         return [np.unique(h[position % block == 0])]
 
-    blocks = build_filter(cut(_over(docs, "h long", index).distinct()), filter_bytes)
-    anchors = spark.sparkContext.broadcast(blocks)
+    blocks = keep(_over(docs, "h long", index).distinct(), "blocks")
 
-    def probe(part: pa.RecordBatch) -> list[np.ndarray]:
+    def probe(part: pa.RecordBatch, anchors: Slice) -> list[np.ndarray]:
         texts = Texts(part, window)
         row, position, h = texts.windows(block)
-        hit = might_hold(anchors.value, h)
+        hit = anchors.might_hold(h)
         row, position, h = row[hit], position[hit], h[hit]
         place = (texts.mark[row] << 32) | position
         return [h, texts.second(row, position, block), texts.doc_id[row], place, position % block == 0]
 
-    hits = written(_over(docs, "h long, g long, doc_id long, place long, own boolean", probe), "hits")
+    hits = _probed(docs, "h long, g long, doc_id long, place long, own boolean", probe, filter_slices(blocks, filter_bytes), keep)
     shared = hits.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.min_by("place", "doc_id").alias("low_place"), F.max("doc_id").alias("high"))
     # materialised, so that the join below shuffles both sides and a hot hash can be split there
-    shared = written(shared.where("low < high").select("h", "g", "low", "low_place"), "shared")
+    shared = keep(shared.where("low < high").select("h", "g", "low", "low_place"), "shared")
     own = hits.where("own").join(shared, ["h", "g"]).where("doc_id > low")
     own = own.select("doc_id", F.shiftright("place", 32).alias("mark"), F.struct(F.col("place").bitwiseAND((1 << 32) - 1).alias("at"), "low", "low_place").alias("p"))
     # one row per text: its hit blocks, at most its own length
-    listed = _side(own.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("p")).alias("places")), "size(places) * 24")
+    listed = _side(own.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("p")).alias("places")), "size(places) * 24", keep)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,18 +234,19 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "h", "g", "start", "end"])
 
     with_places = docs.join(listed, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
-    found = cut(bounded(with_places).mapInArrow(extend, "doc_id long, mark long, h long, g long, start long, end long"))
+    found = keep(bounded(with_places).mapInArrow(extend, "doc_id long, mark long, h long, g long, start long, end long"), "found")
     left_open = found.where("h IS NOT NULL")
-    open_filter = spark.sparkContext.broadcast(build_filter(cut(left_open.select("h").distinct()), filter_bytes))
+    open_hashes = keep(left_open.select("h").distinct(), "open")
 
-    def settle(part: pa.RecordBatch) -> list[np.ndarray]:
+    def settle(part: pa.RecordBatch, open_ones: Slice) -> list[np.ndarray]:
         texts = Texts(part, window)
         row, position, h = texts.windows(window)
-        hit = might_hold(open_filter.value, h)
+        hit = open_ones.might_hold(h)
         row, position, h = row[hit], position[hit], h[hit]
         return [h, texts.second(row, position, window), texts.doc_id[row]]
 
-    starts = cut(_over(docs, "h long, g long, doc_id long", settle).groupBy("h", "g").agg(F.min("doc_id").alias("low")))
+    low = lambda met: met.groupBy("h", "g").agg(F.min("doc_id").alias("low"))
+    starts = _probed(docs, "h long, g long, doc_id long", settle, filter_slices(open_hashes, filter_bytes), keep, low)
     closed = left_open.join(starts, ["h", "g"]).where("doc_id > low")
     columns = ["doc_id", "mark", F.struct("start", "end").alias("i")]
     every = found.where("h IS NULL").select(*columns).union(closed.select(*columns))
@@ -252,7 +275,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FI
     """
     mark = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 33).alias("mark")
     marked = docs.select("doc_id", mark, "text")
-    found = _side(repeated_words(marked.where("doc_id IS NOT NULL AND text IS NOT NULL"), window, filter_bytes), "size(intervals) * 16")
+    with scratch(docs.sparkSession) as keep:
+        repeats = repeated_words(marked.where("doc_id IS NOT NULL AND text IS NOT NULL"), keep, window, filter_bytes)
+        found = _side(repeats, "size(intervals) * 16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,20 +61,27 @@ def test_removal_equals_brute_force(spark, seed, n, size, window):
     assert sorted((tuple(r) for r in s.remove_repeats(docs, window).collect()), key=repr) == want
 
 
-def test_without_filters_and_without_broadcast(spark, monkeypatch):
+def test_with_many_slices_and_without_broadcast(spark, monkeypatch):
     rows = texts(7, 50, 40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(s, "LIST_BYTES", 0)
-    got = sorted((tuple(r) for r in s.remove_repeats(docs, 8, filter_bytes=0).collect()), key=repr)
-    assert got == brute(rows, 8)
+    monkeypatch.setattr(s, "BITS_PER_KEY", 1 << 10)
+    made = []
+    monkeypatch.setattr(s, "filter_slices", lambda *a, f=s.filter_slices: (made.append(x.bits) or x for x in f(*a)))
+    got = sorted((tuple(r) for r in s.remove_repeats(docs, 8, filter_bytes=8 << 10).collect()), key=repr)
+    assert got == brute(rows, 8) and made.count(2) >= 4
     assert s.remove_repeats(docs.limit(0)).count() == 0
 
 
 def test_filter_has_no_false_negatives(spark):
     h = wordhash.mix(np.arange(1, 60001, dtype=np.uint64))
-    table = s.build_filter(spark.createDataFrame(pa.table({"h": h.view(np.int64)})), 1 << 20)
-    assert s.might_hold(table, h).all()
-    assert s.might_hold(table, wordhash.mix(np.arange(10**6, 10**6 + 50000, dtype=np.uint64))).mean() < 0.03
+    frame = spark.createDataFrame(pa.table({"h": h.view(np.int64)}))
+    other = wordhash.mix(np.arange(10**6, 10**6 + 50000, dtype=np.uint64))
+    for most, bits in ((1 << 20, 0), (16 << 10, 2)):
+        parts = list(s.filter_slices(frame, most))
+        assert len(parts) == 1 << bits and all(x.table.nbytes <= most for x in parts)
+        held = sum(x.might_hold(h).astype(int) for x in parts)
+        assert (held == 1).all() and sum(x.might_hold(other) for x in parts).mean() < 0.05
 
 
 def test_words_and_windows_of_buffers():
