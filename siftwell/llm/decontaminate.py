@@ -14,6 +14,7 @@ The q-gram index of a block of items goes to every task; items are taken in bloc
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -27,7 +28,9 @@ from siftwell.llm.arrowtext import bounded, slices, utf8_parts
 
 Q = 12
 RATE = 0.05
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
+#: Pairs of equal q-grams (in a text and in items) that are laid out at a time.
+CHUNK_PAIRS = 1 << 18
 #: Random odd multipliers of the rolling hash and of its spread over the first-look table.
 BASE, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 TABLE_BITS = 22
@@ -186,21 +189,25 @@ def find_matches(index: Index, array: np.ndarray, ends: np.ndarray) -> list[tupl
     near, which, row = near[inside], which[inside], row[inside]
     if not len(near):
         return found
-    # every occurrence of each shared q-gram in the items
+    # every occurrence of each shared q-gram in the items, some at a time, summed by pair and band
     counts = index.first[which + 1] - index.first[which]
     ends_of = np.cumsum(counts)
-    at = np.repeat(index.first[which] - ends_of + counts, counts) + np.arange(ends_of[-1])
-    item, row = index.item[at], np.repeat(row, counts)
-    diagonal = np.repeat(near, counts) - index.place[at] - bounds[row]
-    width = index.budgets[item] + 1
-    band = diagonal // width
-    # each hit lies in two overlapping bands: (band - 1) and band
-    pair, pair_of = np.unique(row * len(index.items) + item, return_inverse=True)
-    both = np.concatenate([band - 1, band])
-    low = int(both.min())
-    span = int(both.max()) - low + 1
-    keys, shared = np.unique(np.concatenate([pair_of, pair_of]) * span + (both - low), return_counts=True)
-    key_pair, key_band = pair[keys // span], keys % span + low
+    low, span = -len(text) - int(index.place.max()) - 2, 2 * (len(text) + int(index.place.max()) + 4)
+    keys, shared, begin = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while begin < len(near):
+        before = ends_of[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends_of, before + CHUNK_PAIRS, side="right")))
+        own, n = slice(begin, end), counts[begin:end]
+        at = np.repeat(index.first[which[own]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        item, rows = index.item[at], np.repeat(row[own], n)
+        band = (np.repeat(near[own], n) - index.place[at] - bounds[rows]) // (index.budgets[item] + 1)
+        # each hit lies in two overlapping bands: (band - 1) and band
+        first_key = (rows * len(index.items) + item) * span + (band - low)
+        found_keys, times = np.unique(np.concatenate([first_key - 1, first_key]), return_counts=True)
+        keys, where = np.unique(np.concatenate([keys, found_keys]), return_inverse=True)
+        shared = np.bincount(where, np.concatenate([shared, times]), len(keys)).astype(np.int64)
+        begin = end
+    key_pair, key_band = keys // span, keys % span + low
     key_item = key_pair % len(index.items)
     passed = np.flatnonzero(shared >= index.bounds[key_item])
     best: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
@@ -214,10 +221,11 @@ def find_matches(index: Index, array: np.ndarray, ends: np.ndarray) -> list[tupl
         if hit:
             best.setdefault((r, i), []).append((hit[0], start + hit[1], start + hit[2], int(shared[k])))
     for (r, i), hits in sorted(best.items()):
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # disjoint, by place
         for edits, start, end, n in sorted(hits):
-            if all(end <= a or b <= start for a, b in taken):
-                taken.append((start, end))
+            place = bisect(taken, (start, end))
+            if (place == 0 or taken[place - 1][1] <= start) and (place == len(taken) or end <= taken[place][0]):
+                taken.insert(place, (start, end))
                 first = int(kept[bounds[r] + start] - starts[r])
                 last = int(kept[bounds[r] + end - 1] - starts[r]) + 1 if end > start else first
                 found.append((r, index.ids[i], first, last, edits, n))

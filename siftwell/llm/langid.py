@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.arrowtext import bounded
@@ -256,24 +256,24 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, n_words: int = SAMPLE_WORDS) -> list[tuple[str, str]]:
-    """At most ``docs`` texts of each language, chosen by hash from all of ``labelled`` (text,
-    lang), and of each a stretch of ``n_words`` words at a place chosen by hash."""
+    """At most ``docs`` different texts of each language, chosen by hash from all of ``labelled``
+    (text, lang), and of each a stretch of ``n_words`` words at a place chosen by hash.  Copies of a
+    text count once, so that a text that fills a language or the corpus crowds none out."""
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    spread = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    key = F.xxhash64("text", F.lit(11))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(key, 0.02).alias("n")).collect()}
     if not sizes:
         return []
     # a little more than enough of each language passes; the rest are never sorted or moved
     share: Column = F.lit(0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * (docs + 8 * docs**0.5) / n) + 1))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * (1.2 * docs + 8 * docs**0.5) / max(n, 1)) + 1))).otherwise(share)
     parts = F.split("text", _SPACES)
     at = F.pmod(F.xxhash64("text", F.lit(13)), F.greatest(F.lit(1), F.size(parts) - n_words)).cast("int") + 1
-    picked = rows.where(spread < share).select("lang", spread.alias("h"), F.array_join(F.slice(parts, at, n_words), " ").alias("t"))
-    found: dict[str, list[str]] = {}
-    for r in picked.orderBy("h", "t").limit((docs + int(8 * docs**0.5) + 1) * 2 * len(sizes)).collect():
-        found.setdefault(r.lang, []).append(r.t)
-    return [(t, lang) for lang in sorted(found) for t in found[lang][:docs]]
+    picked = rows.where(F.pmod(key, F.lit(1 << 30)) < share).select("lang", key.alias("key"), F.array_join(F.slice(parts, at, n_words), " ").alias("t"))
+    texts = picked.groupBy("lang", "key").agg(F.min("t").alias("t"))
+    ranked = texts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "key")))
+    return [(r.t, r.lang) for r in ranked.where(F.col("rank") <= docs).orderBy("lang", "rank").collect()]
 
 
 # -- prediction -----------------------------------------------------------------------------------

@@ -35,8 +35,8 @@ MARKERS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 URN = "urn:siftwell:page:"
 DATE = "2024-01-01T00:00:00Z"
 STEP = 1 << 18
-#: Longest record header and longest record that the reader accepts.
-MAX_HEADER, MAX_RECORD = 1 << 16, 1 << 30
+#: Longest record that the reader accepts, header included; longer than any that a row can fill.
+MAX_RECORD = 1 << 32
 
 READ = (
     "file string, at long, size long, reason string, record_type string, record_id string, target_uri string, "
@@ -131,7 +131,7 @@ def parse_record(read, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no version line")
     size = 4096
     while (stop := (head := read(at, size)).find(b"\r\n\r\n")) < 0:
-        if len(head) < size or size >= MAX_HEADER:
+        if len(head) < size or size >= MAX_RECORD:
             raise Damaged("the header does not end")
         size *= 4
     headers = parse_head(head[:stop])
@@ -355,9 +355,11 @@ def _page(urn: str):
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     paths = write_archives(pages, fresh_dir(spark, "warc"))
-    records = read_archives(spark, paths, with_payload=False).where("reason IS NULL")
+    records = read_archives(spark, paths, with_payload=False)
+    # a gap in what was just written would be a lost page, so it is an error
+    size = F.when(F.col("reason").isNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat("file", F.lit(": "), "reason")).cast("long"))
     return records.select(
-        _page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to")
+        _page("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", _page("refers_to").alias("refers_to")
     )
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from siftwell.llm import decontaminate as d
 
@@ -105,3 +106,19 @@ def test_query_finds_the_items_that_documents_quote(spark):
     rows = d.op4_decontamination(spark, sf).collect()
     assert quoted and {(r.doc_id, r.item_id) for r in rows if r.edits == 0} == quoted
     assert np.mean([r.edits == 0 for r in rows]) > 0.9
+
+
+def test_a_long_line_of_one_character_stays_small():
+    import tracemalloc
+
+    item = "A title of the thing " + "-" * 60 + " and what follows it"
+    index = d.build_index([(1, item), (2, "-" * 70)])
+    line = "-" * 400_000
+    array, ends = d.utf8_parts(pa.array([line, f"see {item} there", "nothing"]))
+    tracemalloc.start()
+    found = d.find_matches(index, array, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    assert peak < 200 << 20
+    assert {(r, i) for r, i, *_ in found} == {(0, 2), (1, 1)} or {(r, i) for r, i, *_ in found} == {(0, 2), (1, 1), (1, 2)}
+    spans = sorted((s, e) for r, _, s, e, *_ in found if r == 0)
+    assert len(spans) >= 400_000 // 80 and all(b <= a for (_, b), (a, _) in zip(spans, spans[1:]))

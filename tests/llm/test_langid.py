@@ -94,3 +94,23 @@ def test_odd_rows(spark, model):
     assert langid.predict(docs.limit(0), model).count() == 0
     nothing = langid.train([])
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_copies_of_a_text_crowd_no_language_out(spark):
+    rows = [("one text again and again", "aa")] * 5000 + [(f"text {i} of many", lang) for lang in ("bb", "cc") for i in range(500)]
+    sample = langid.training_sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert sample.count(("one text again and again", "aa")) == 1 and len(sample) == len(set(sample)) == 601
+    assert [sum(x == lang for _, x in sample) for lang in ("aa", "bb", "cc")] == [1, 300, 300]
+
+
+def test_predictions_of_rows_equal_enumeration(spark, model):
+    """Score and language of whole rows from the model's weights alone, all paths enumerated."""
+    texts = ["the house of words", "die Häuser und", "la maison", "x", "42 -", None, "el perro y the dog"]
+    got = [(r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    for text, (lang, score) in zip(texts, got):
+        w = langid.words_of(*langid.buffer_of([text]))
+        if not w.first[-1] or not langid.has_letter(text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        mean = enumerate_marginals(model.emissions(w), model.transitions).mean(axis=0)
+        assert lang == model.languages[int(mean.argmax())] and abs(score - mean.max()) < 1e-6

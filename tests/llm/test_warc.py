@@ -97,3 +97,15 @@ def test_damaged_file_on_spark(spark, tmp_path):
 
 def test_query_equals_sql(spark):
     compare(warc.op3_warc(spark, "/root/testdata/sf0.01"), warc.OP3_SQL, "/root/testdata/sf0.01")
+
+
+def test_very_long_urls_come_back(spark, tmp_path):
+    urls = ["data:text/html," + "x" * n for n in (70_000, 1_000_000)] + ["http://x/é", None]
+    rows = [(i, u, f"<p>{i}</p>" * 60) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in warc.op3_warc(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+    paths = warc.write_archives(spark.read.parquet(f"{tmp_path}/pages.parquet"), f"file://{tmp_path}/w")
+    found = warc.read_archives(spark, paths).collect()
+    assert {r.target_uri for r in found} == set(urls) and all(r.reason is None for r in found)
+    data = b"".join(warc.record_bytes(f"{warc.URN}{i}", u, b"y" * 99, hashlib.sha256(b"y" * 99).hexdigest(), None) for i, u in enumerate(urls))
+    assert ids(b"WARC/1.1\r\njunk" + data)[0] == [0, 1, 2, 3]
