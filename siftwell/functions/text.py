@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every code point that Python's str.isspace and \s agree on, as a class that Java and RE2 both read.
@@ -36,6 +36,13 @@ def reduction(original: Column, refined: Column) -> Column:
     return 1 - refined / F.greatest(original, F.lit(1))
 
 
+def where_after(rows: DataFrame, condition: Column) -> DataFrame:
+    """``rows`` that fulfil a condition on computed columns.  The partition number is not
+    deterministic, so the filter stays above what computes them; pushed below, it would compute
+    (and parse) everything it needs once more."""
+    return rows.withColumn("fence", F.spark_partition_id()).where(condition & (F.col("fence") >= 0)).drop("fence")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where lambdas use it many times."""
     return F.element_at(F.transform(F.array(value), body), 1)

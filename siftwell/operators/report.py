@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import where_after
+
 
 def report_rows(results: DataFrame) -> DataFrame:
     """Results with ``mode``: BM25 if the query selected sections, else full."""
@@ -26,7 +28,7 @@ def averages(results: DataFrame) -> DataFrame:
 
 def errors(results: DataFrame) -> DataFrame:
     """(url, error) of failed pages."""
-    return results.where("error IS NOT NULL").select("url", "error")
+    return where_after(results, F.col("error").isNotNull()).select("url", "error")
 
 
 def published_since(documents: DataFrame, day: str) -> DataFrame:

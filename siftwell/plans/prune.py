@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.html import dom
-from siftwell.functions.text import estimate_tokens, reduction, strip
+from siftwell.functions.text import estimate_tokens, reduction, strip, where_after
 from siftwell.operators.bm25 import BUDGET, bm25_filter
 from siftwell.operators.classify import is_static, render_type, ssg_payload
 from siftwell.operators.extract import with_nodes
@@ -67,10 +67,7 @@ def prune(pages: DataFrame, query: Column | str = "", *, budget: int = BUDGET, k
 def checked(results: DataFrame, ignore_errors: bool = True) -> DataFrame:
     """Results without failed rows, or with the first failure raised."""
     if ignore_errors:
-        # the partition number is not deterministic, so the filter stays above the extraction; pushed
-        # below it the filter would parse each page again
-        fenced = results.withColumn("fence", F.spark_partition_id())
-        return fenced.where(F.col("error").isNull() & (F.col("fence") >= 0)).drop("error", "fence")
+        return where_after(results, F.col("error").isNull()).drop("error")
     markdown = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("markdown"))
     return results.withColumn("markdown", markdown).drop("error")
 

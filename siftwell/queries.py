@@ -256,13 +256,13 @@ def clean_documents(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""WITH {CLEAN}, sized AS (SELECT doc_id, t, length(t) AS n FROM clean WHERE length(t) >= 10)
-SELECT doc_id, n >= 395 AS clustered, CASE WHEN n >= 395 THEN 5 ELSE 0 END AS nodes FROM sized"""
+    f"""WITH {CLEAN}, sized AS (SELECT doc_id, coalesce(length(t), 0) AS n FROM clean)
+SELECT doc_id, 2 * (5 + n) + 24 >= 1200 AS clustered, CASE WHEN 2 * (5 + n) + 24 >= 1200 THEN 5 ELSE 0 END AS nodes FROM sized"""
 )
 def heading_clusters(spark, sf_dir):
     """An article inside a form: two clusters of a heading and a text, and one that is all link."""
-    rows = clean_documents(spark, sf_dir).where(F.length("t") >= 10)
-    t = escaped(F.col("t"))
+    rows = clean_documents(spark, sf_dir)
+    t = escaped(F.coalesce("t", F.lit("")))
     html = F.concat(
         F.lit("<body><form><article><p>Opening words</p><h2>Head1</h2><p>"), t, F.lit("</p><h3>Head2</h3><p>"), t,
         F.lit('</p><h2>Links</h2><p><a href="x">only a link in here</a></p></article></form></body>'),
@@ -272,16 +272,15 @@ def heading_clusters(spark, sf_dir):
     return page.select("doc_id", F.col("n").isNotNull().alias("clustered"), F.coalesce(F.size("n"), F.lit(0)).alias("nodes"))
 
 
-ORACLE_SQL["heading_clusters"] = ORACLE_SQL["heading_clusters"].replace("n >= 395", "2 * (5 + n) + 24 >= 1200")
-
-
 @query(
-    f"""WITH {CLEAN}, sized AS (SELECT doc_id, length(replace(t, ' ', '')) AS s, length(t) AS n FROM clean WHERE length(t) >= 200)
-SELECT doc_id, round(n / 1.5 * (1 - 4 / n) * (1 - 4 * 0.04), 6) AS score, 3 AS depth FROM (SELECT doc_id, n + 4 AS n FROM sized)"""
+    f"""WITH {CLEAN}, sized AS (SELECT doc_id, coalesce(length(t), 0) + 4 AS n FROM clean)
+SELECT doc_id, CASE WHEN n >= 200 THEN round(n / 1.5 * (1 - 4 / n) * (1 - 4 * 0.04), 6) WHEN n >= 198 THEN round((n + 2) / 6.5 * (1 - 4 / (n + 2)) * (1 - 3 * 0.04), 6) END AS score,
+  CASE WHEN n >= 200 THEN 3 WHEN n >= 198 THEN 2 END AS depth FROM sized"""
 )
 def density_containers(spark, sf_dir):
-    """The article beats the navigation around it; its score follows from its length."""
-    rows = clean_documents(spark, sf_dir).where(F.length("t") >= 200)
+    """The article beats the navigation around it; its score follows from its length.  None is dense
+    enough in a document of few characters, or only the outer one, which holds two more."""
+    rows = clean_documents(spark, sf_dir).withColumn("t", F.coalesce("t", F.lit("")))
     html = F.concat(F.lit("<html><body><div><nav><ul><li>x</li><li>y</li></ul></nav><article><p>"), escaped(F.col("t")), F.lit(" <a>link</a></p></article></div></body></html>"))
     page = parsed(rows.select("doc_id", html.alias("html"))).select("doc_id", extract.best_container(F.col("dom.elements")).alias("b"))
     return page.select("doc_id", F.round("b.score", 6).alias("score"), (F.col("b.depth") - 1).alias("depth"))
@@ -339,6 +338,92 @@ def published_filter(spark, sf_dir):
     return report.published_since(docs, "2024-01-15").select(F.col("metadata")["source"].cast("long").alias("id"))
 
 
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'About ' || page_id WHEN 1 THEN 'Graph ' || page_id END AS description, '2024-02-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') AS modified_time,
+  'Site ' || page_id % 7 AS site_name, 'Titled ' || page_id AS title, CASE WHEN page_id % 3 < 2 THEN 4 ELSE 3 END AS fields FROM pages"""
+)
+def meta_fallbacks(spark, sf_dir):
+    """Later places stand in for fields whose first place is empty; other data in the head is not read."""
+    number, third = F.col("page_id").cast("string"), F.col("page_id") % 3
+    html = F.concat(
+        F.lit('<head><title> </title><script type="application/ld+json">{"description":"never"}</script><meta property="og:title" content=" Titled '), number,
+        F.lit('"><meta property="og:site_name" content="Site '), (F.col("page_id") % 7).cast("string"), F.lit('"><meta property="article:modified_time" content="'),
+        F.format_string("2024-02-%02d", 1 + F.col("page_id") % 28), F.lit('">'),
+        F.when(third == 0, F.concat(F.lit('<meta property="og:description" content="no"><meta name="description" content="About '), number, F.lit(' ">')))
+        .when(third == 1, F.concat(F.lit('<meta name="description" content=""><meta property="og:description" content="Graph '), number, F.lit('">'))).otherwise(""),
+        F.lit("</head><body></body>"),
+    )
+    found = parsed(table(spark, sf_dir, "pages").select("page_id", html.alias("html"))).select("page_id", meta(F.col("dom.meta")).alias("m"))
+    return found.select("page_id", *[F.col("m")[n].alias(n) for n in ("description", "modified_time", "site_name", "title")], F.size("m").alias("fields"))
+
+
+STATIC = "Words of a static page that are rendered from its payload, long enough to stand for the page by themselves, number "
+PARTS = ("One", "Two", "Three", "Four")
+
+
+def branch_pages(spark, sf_dir) -> DataFrame:
+    """Results of pages of five kinds, by doc_id: static; static with a query that selects sections;
+    with a payload that is empty, or that renders too little; without content."""
+    number, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    parts = [F.concat(F.lit(f"<h2>Part {k}</h2><p>Filler words about part {k} of page "), number, F.lit(" needle</p>" if k in ("Two", "Four") else "</p>")) for k in PARTS]
+    good = F.concat(F.lit('{"props":{"pageProps":{"content":[["$","p",null,{"children":"' + STATIC), number, F.lit('"}]]}}}'))
+    payload = F.when(kind < 2, good).when(kind == 2, "{}").otherwise('{"props":{"pageProps":{"content":["few"]}}}')
+    whole = F.concat(F.lit('<html><head><script id="__NEXT_DATA__" type="x">'), payload, F.lit("</script></head><body>"), *parts, F.lit("</body></html>"))
+    html = F.when(kind == 4, "<html><body></body></html>").otherwise(whole)
+    rows = table(spark, sf_dir, "documents").select("doc_id", number.alias("url"), html.alias("html"), F.when(kind == 1, "needle").otherwise("").alias("asked"))
+    return prune(rows, F.col("asked"), budget=1, keep=("doc_id",))
+
+
+def part_sql(k: str) -> str:
+    return f"'## Part {k}' || chr(10) || chr(10) || 'Filler words about part {k} of page ' || doc_id" + (" || ' needle'" if k in ("Two", "Four") else "")
+
+
+def parts_sql(*parts: str) -> str:
+    return " || chr(10) || chr(10) || ".join(map(part_sql, parts))
+
+
+@query(
+    f"""SELECT doc_id, ['SSG', 'SSG', 'SSR', 'SSR', 'CSR'][1 + doc_id % 5] AS render_type, CASE WHEN doc_id % 5 = 1 THEN 'BM25' ELSE 'full' END AS mode,
+  CASE doc_id % 5 WHEN 0 THEN '{STATIC}' || doc_id WHEN 1 THEN {parts_sql("Two", "Four")} WHEN 4 THEN '' ELSE {parts_sql(*PARTS)} END AS markdown FROM documents"""
+)
+def page_branches(spark, sf_dir):
+    return report.report_rows(branch_pages(spark, sf_dir)).select("doc_id", "render_type", "mode", "markdown")
+
+
+@query("SELECT doc_id::VARCHAR AS url, 'No extractable content; the page may require JavaScript rendering: ' || doc_id AS error FROM documents WHERE doc_id % 5 = 4")
+def failed_pages(spark, sf_dir):
+    return report.errors(branch_pages(spark, sf_dir))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 = 1")
+def confident_documents(spark, sf_dir):
+    docs = report.confident(sources.documents(checked(branch_pages(spark, sf_dir))), 0.0)
+    return docs.select(F.col("metadata")["source"].cast("long").alias("doc_id"))
+
+
+@query("SELECT sum(page_id % 3)::BIGINT AS cached FROM pages")
+def cached_documents(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    asked = pages.select("url", F.lit("").alias("query"), F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("page_id") % 3))).drop("col")
+    return report.cached_count(sources.documents(prune_requests(pages.select("url", "html"), asked)))
+
+
+@query(
+    f"""WITH {PAGE_NODES} SELECT url, {MARKDOWN} AS markdown, ({tokens_sql("html")})::INT AS original_tokens, 'false' AS cached, 11 AS fields FROM nodes"""
+)
+def json_results(spark, sf_dir):
+    rows = sources.to_json(checked(prune(table(spark, sf_dir, "pages"))))
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    return rows.select("url", field("markdown").alias("markdown"), field("original_tokens").cast("int").alias("original_tokens"), field("cached").alias("cached"), F.size(F.json_object_keys("json")).alias("fields"))
+
+
+@query(f"WITH {PAGE_NODES} SELECT {MARKDOWN} AS markdown FROM nodes WHERE page_id = (SELECT min(page_id) FROM pages)")
+def one_page(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    first = pages.orderBy("page_id").select("url").first()
+    return sources.markdown_of(pages.drop("page_id"), first.url if first else "")
+
+
 # -- sections and ranking -------------------------------------------------------------------------
 
 
