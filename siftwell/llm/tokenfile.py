@@ -217,10 +217,17 @@ class TokenFile:
             raise CorruptFile(f"the ids of block {k} differ")
         return ids
 
-    def documents(self) -> Iterator[tuple[int | None, int, bytes]]:
-        """(doc_id, ids before it in this file, its ids as bytes), holding little over a block."""
-        held, at, k, start = memoryview(b""), 0, 0, 0
-        for doc_id, length in zip(self.doc_ids, self.lengths.tolist()):
+    def documents(self, of: int | None = None) -> Iterator[tuple[int | None, int, bytes]]:
+        """(doc_id, ids before it in this file, its ids as bytes), holding little over a block and a
+        document; with ``of`` only documents that start in that block, which decodes from there."""
+        firsts = [c[2] for c in self.header["checkpoints"]] or [0]
+        starts = np.cumsum(self.lengths) - self.lengths
+        low = 0 if not of else int(np.searchsorted(starts, firsts[of]))
+        high = len(starts) if of is None or of + 1 >= len(firsts) else int(np.searchsorted(starts, firsts[of + 1]))
+        held, at, k = memoryview(b""), 0, of or 0
+        if low < high and starts[low] > firsts[k]:  # the block opens inside a document
+            held, at, k = memoryview(self.block(k).astype("<u4").tobytes()), 4 * int(starts[low] - firsts[k]), k + 1
+        for doc_id, start, length in zip(self.doc_ids[low:high], starts[low:high].tolist(), self.lengths[low:high].tolist()):
             parts: list[bytes] = []
             have = len(held) - at
             while have < 4 * length:
@@ -231,15 +238,14 @@ class TokenFile:
                 held, at = memoryview(b"".join([held[at:], *parts])), 0
             yield doc_id, start, bytes(held[at : at + 4 * length])
             at += 4 * length
-            start += length
 
 
 # -- Spark ----------------------------------------------------------------------------------------
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> list[tuple[str, int, int]]:
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> list[tuple[str, int, int]]:
     """Write ``docs`` (doc_id, text) in ascending doc_id order (null first, ties by text) as files
-    in ``folder``; returns (path, ids before it, ids) of each file, in order.
+    in ``folder``; returns (path, ids before it, blocks) of each file, in order.
 
     Each document gets its ids without special tokens and then ``end_id``; null text is empty.
     Repeated rows are written as often as they come; other columns are not read; an empty table
@@ -256,7 +262,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = EN
             path = f"{folder}/part-{part:06d}-{number:06d}.rans"
             lengths, ids = [len(p) // 4 for p in pieces], np.frombuffer(b"".join(pieces), "<u4")
             pieces.clear()
-            _write(path, encode_file(doc_ids, lengths, ids))
+            _write(path, encode_file(doc_ids, lengths, ids, block_tokens=block_tokens))
             row = ([path], [part], [number], [len(lengths)], [held])
             return pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=["path", "part", "number", "docs", "tokens"])
 
@@ -277,7 +283,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = EN
     manifest = sorted(bounded(ordered).mapInArrow(run, MANIFEST).collect(), key=lambda r: (r.part, r.number))
     found, before = [], 0
     for r in manifest:
-        found.append((r.path, before, r.tokens))
+        found.append((r.path, before, -(-r.tokens // block_tokens)))
         before += r.tokens
     return found
 
@@ -295,16 +301,17 @@ def _write(path: str, data: bytes) -> None:
 
 def read_ids(spark, files: list[tuple[str, int, int]]) -> DataFrame:
     """Documents of token files: doc_id, start (ids of all documents before it), n_tokens, ids
-    (little-endian unsigned 32-bit).  Each task decodes whole files, block after block."""
+    (little-endian unsigned 32-bit).  Blocks are dealt to tasks, which find them by the checkpoints;
+    each gives the documents that start in its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
+            for path, before, block in zip(*(batch.column(c).to_pylist() for c in ("path", "before", "block"))):
                 system, place = filesystem(path)
                 with system.open_input_file(place) as stream:
                     rows: list[tuple[int | None, int, bytes]] = []
                     size = 0
-                    for doc_id, start, ids in TokenFile(stream).documents():
+                    for doc_id, start, ids in TokenFile(stream).documents(block):
                         rows.append((doc_id, before + start, ids))
                         size += len(ids)
                         if size >= 4 << 20:
@@ -313,8 +320,9 @@ def read_ids(spark, files: list[tuple[str, int, int]]) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    table = spark.createDataFrame([(p, b) for p, b, _ in files], "path string, before long")
-    return table.repartition(max(1, len(files))).mapInArrow(run, ROWS)
+    dealt = [(p, b, k) for p, b, n in files for k in range(n)]
+    table = spark.createDataFrame(dealt, "path string, before long, block int")
+    return table.repartition(max(1, len(dealt))).mapInArrow(run, ROWS)
 
 
 def _rows(rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:

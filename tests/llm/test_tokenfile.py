@@ -26,6 +26,9 @@ def test_round_trip(n, kinds, lanes, block):
     got = list(file.documents())
     assert [(d, s) for d, s, _ in got] == [(5, 0), (None, n // 2), (-7, n // 2)]
     assert b"".join(x for *_, x in got) == ids.astype("<u4").tobytes()
+    assert [x for k in range(len(file.header["checkpoints"]) or 1) for x in file.documents(k)] == got
+    many = t.TokenFile(io.BytesIO(t.encode_file(list(range(n)), [1] * n, ids, lanes=lanes, block_tokens=block))) if n < 6000 else file
+    assert [x for k in range(len(file.header["checkpoints"]) or 1) for x in many.documents(k)] == list(many.documents())
     for k in reversed(range(len(file.header["checkpoints"]))):  # blocks decode by themselves
         first, count = file.header["checkpoints"][k][2:4]
         assert (file.block(k) == ids[first : first + count]).all()
@@ -63,7 +66,7 @@ def test_query_equals_the_library(spark):
 def test_odd_rows(spark):
     rows = [(3, "b c", 1), (3, "a", 1), (None, "x", 1), (1, None, 1), (-4, "", 1), (3, "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
-    for kw in ({}, {"file_tokens": 2}):
+    for kw in ({}, {"file_tokens": 2}, {"block_tokens": 2}, {"file_tokens": 5, "block_tokens": 1}):
         files = t.write_ids(docs, t.fresh_dir(spark, "test"), WORDS, **kw)
         got = sorted((tuple(r) for r in t.read_ids(spark, files).drop("ids").collect()), key=lambda r: r[1])
         assert got == [(None, 0, 2), (-4, 2, 1), (1, 3, 1), (3, 4, 2), (3, 6, 2), (3, 8, 3)]
