@@ -34,7 +34,7 @@ from siftwell.llm.storage import scratch, written
 from siftwell.llm.wordhash import windows, word_hashes, words
 
 WINDOW = 50
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 128 << 20
 #: Bytes of per-document lists up to which they are broadcast to the texts.
 LIST_BYTES = 32 << 20
 #: Bits of a filter for each key, up to twice as many as sizes are powers of two.
