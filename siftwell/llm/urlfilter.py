@@ -3,8 +3,10 @@
 Everything here is DataFrame expressions.  ``listed`` may be of any size: its distinct canonical
 URLs are hashed into a blocked Bloom filter (blocks of eight 64-bit lanes, one bit in each lane),
 a table of one row per block.  Pages look their block up; only possible hits are joined exactly
-with the list, which removes the false positives.  The filter is broadcast while its computed size
-is at most ``broadcast_bytes``; a larger one is joined by block with a shuffle.
+with the list, which removes the false positives.  Filter and list are broadcast while their computed
+size is at most ``broadcast_bytes``, and pages are then read once.  A larger filter is joined by
+block with a shuffle; for a larger list only the possible hits are shuffled, which takes a second
+read of the urls in place of a shuffle of all pages.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ TRACKING = "^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)"
 LANES, LANE_BITS = 8, 64
 #: Bytes of a block's row when broadcast: its number, eight lanes and the hash table's share.
 BLOCK_ROW_BYTES = 128
+#: Bytes of a listed URL's row when broadcast, beside the URL itself.
+LISTED_ROW_BYTES = 64
 
 Rule = tuple[str, str]
 
@@ -111,7 +115,7 @@ def filter_urls(
     strings, nulls and repeats in ``listed`` are ignored; an empty list blocks nothing.
     """
     names = cut(listed.select("canonical").where("canonical IS NOT NULL AND canonical <> ''").distinct())
-    count = names.count()
+    count, url_bytes = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canonical")), F.lit(0))).first()
     blocks = max(1, -(-count * bits_per_url // (LANES * LANE_BITS)))
     bloom = build_filter(names, blocks)
     if blocks * BLOCK_ROW_BYTES <= broadcast_bytes:
@@ -120,18 +124,25 @@ def filter_urls(
     url = F.col("url")
     judged = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), canonical_url(url).alias("canonical"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = judged.select("*", rule.alias("rule"), verdict.alias("ruled"), _block(F.col("canonical"), blocks).alias("block"))
+    # pages without a canonical URL are never hits; they are spread over the blocks
+    spread = F.coalesce("canonical", "url", F.col("page_id").cast("string"))
+    judged = judged.select("*", rule.alias("rule"), verdict.alias("ruled"), _block(spread, blocks).alias("block"))
     hit = F.lit(True)
     for i, bit in enumerate(_lane_bits(F.col("canonical"))):
         hit = hit & (F.col(f"lane{i}").bitwiseAND(bit) != 0)
     probed = judged.join(bloom, "block", "left").withColumn("possible", F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False)))
 
     shape = ["page_id", "url", "host", "path", "canonical", "rule", "listed", "ruled"]
-    clear = probed.where(~F.col("possible")).withColumn("listed", F.lit(False)).select(shape)
-    exact = names.withColumn("on_list", F.lit(True))
-    maybe = probed.where("possible").join(exact, "canonical", "left").withColumn("listed", F.coalesce("on_list", F.lit(False))).select(shape)
+    exact = names.select(F.col("canonical").alias("name"))
+    if url_bytes + count * LISTED_ROW_BYTES <= broadcast_bytes:
+        key = F.when(F.col("possible"), F.col("canonical"))
+        found = probed.join(F.broadcast(exact), key == F.col("name"), "left").withColumn("listed", F.col("name").isNotNull()).select(shape)
+    else:
+        clear = probed.where(~F.col("possible")).withColumn("listed", F.lit(False)).select(shape)
+        maybe = probed.where("possible").join(exact, F.col("canonical") == F.col("name"), "left")
+        found = clear.unionByName(maybe.withColumn("listed", F.col("name").isNotNull()).select(shape))
     method = F.when(F.col("listed"), listed_verdict).otherwise(other_verdict)
-    return clear.unionByName(maybe).withColumn("verdict", F.coalesce("ruled", method)).drop("ruled")
+    return found.withColumn("verdict", F.coalesce("ruled", method)).drop("ruled")
 
 
 # -- the registered query -------------------------------------------------------------------------

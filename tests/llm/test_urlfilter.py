@@ -33,5 +33,13 @@ def test_filter_has_no_false_negatives_and_exact_join_removes_false_positives(sp
         assert got == set(range(3000))
 
 
+def test_a_small_list_costs_one_read_of_the_pages(spark, tmp_path):
+    spark.range(50).selectExpr("id AS page_id", "concat('http://h', id, '.org/p') AS url").write.parquet(str(tmp_path / "pages"))
+    listed = spark.createDataFrame([("h7.org/p",)], "canonical string")
+    found = u.filter_urls(spark.read.parquet(str(tmp_path / "pages")), listed, [])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and [r.page_id for r in found.where("listed").collect()] == [7]
+
+
 def test_query_equals_sql(spark):
     compare(u.op1_url_filter(spark, "/root/testdata/sf0.01"), u.OP1_SQL, "/root/testdata/sf0.01")
