@@ -1,6 +1,7 @@
 """``spark.read.format("webpage")``: pages fetched by URL, with user agents rotated and a browser last.
 
-Options: ``urls`` (one per line), ``partitions``, ``timeout``.  The fetcher is pluggable for tests.
+Options: ``urls`` (one per line), ``partitions``, ``timeout``.  ``fetch_table`` takes the URLs from a
+table of any size instead.  The fetcher is pluggable for tests.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ import http.client
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Sent with requests; the first at once, the others after a refusal.
@@ -64,6 +69,38 @@ def fetch(url: str, timeout: float = 15.0, get: Get = http_get, browser: Callabl
     return browser(url)
 
 
+SCHEMA = "request_url string, url string, html string, fetch_error string"
+
+
+def attempt(url: str, timeout: float = 15.0, get: Get = http_get, browser: Callable[[str], tuple[str, str]] = browse) -> tuple:
+    """A row of ``SCHEMA``; whatever goes wrong is its ``fetch_error``."""
+    try:
+        html, final = fetch(url, timeout, get, browser)
+        return url, final, html, None
+    except Exception as error:
+        return url, None, None, str(error) or type(error).__name__
+
+
+def fetch_table(
+    urls: DataFrame, column: str = "url", *, in_flight: int = 8, timeout: float = 15.0, get: Get = http_get, browser: Callable[[str], tuple[str, str]] = browse
+) -> DataFrame:
+    """``SCHEMA`` for each different URL of ``urls[column]``, ``in_flight`` requests at a time in each
+    task.  Nulls and empty strings are no URLs; an empty table gives no rows; other columns are not
+    read.  A task holds ``in_flight`` pages at most; a lost task fetches its URLs again."""
+    names = pa.schema([(x.split()[0], pa.string()) for x in SCHEMA.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                wanted = batch.column(0).to_pylist()
+                for i in range(0, len(wanted), in_flight):
+                    rows = pool.map(lambda url: attempt(url, timeout, get, browser), wanted[i : i + in_flight])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], schema=names)
+
+    listed = urls.select(F.col(column).cast("string").alias("url")).where("url <> ''").distinct()
+    return listed.mapInArrow(run, SCHEMA)
+
+
 class UrlRange(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
@@ -80,11 +117,7 @@ class PageReader(DataSourceReader):
 
     def read(self, partition: UrlRange) -> Iterator[tuple]:
         for url in partition.urls:
-            try:
-                html, final = fetch(url, self.timeout)
-                yield url, final, html, None
-            except Exception as error:
-                yield url, None, None, str(error)
+            yield attempt(url, self.timeout)
 
 
 class PageSource(DataSource):
@@ -95,7 +128,7 @@ class PageSource(DataSource):
         return "webpage"
 
     def schema(self) -> str:
-        return "request_url string, url string, html string, fetch_error string"
+        return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return PageReader(self.options)

@@ -201,6 +201,24 @@ def test_sitemaps_deeper_than_ten_levels_and_cycles(spark):
         sitemap.expand(maps, "x")
 
 
+def test_fetch_of_a_table(spark):
+    def get(url, headers, timeout):
+        if "down" in url:
+            raise OSError("no route")
+        return (404, "", url) if "gone" in url else (200, "html of " + url, url + "/")
+
+    def browser(url):
+        raise RuntimeError("no browser for " + url)
+
+    urls = [f"http://h{i}" for i in range(40)] + ["http://h1", None, "", "http://gone", "http://down"]
+    table = spark.createDataFrame([(x, "clash") for x in urls], "link string, html string")
+    rows = {r.request_url: r for r in fetch.fetch_table(table, "link", in_flight=4, get=get, browser=browser).collect()}
+    assert set(rows) == {x for x in urls if x}
+    assert rows["http://h7"].html == "html of http://h7" and rows["http://h7"].url == "http://h7/" and rows["http://h7"].fetch_error is None
+    assert "404" in rows["http://gone"].fetch_error and rows["http://down"].fetch_error == "no browser for http://down"
+    assert fetch.fetch_table(table.limit(0), "link", get=get).count() == 0
+
+
 def test_fetch_tiers():
     calls = []
 
