@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from siftwell.llm import decontaminate, langid, packing, quality, secrets, simhash, substrings, tokenfile, urlfilter, warc
+from siftwell.llm import centroids, decontaminate, exactdedup, langid, packing, periods, quality, secrets, simhash, substrings, tokenfile, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -13,8 +13,17 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_exact_dedup": exactdedup.op11_exact_dedup,
+    "op12_centroid_clusters": centroids.op12_centroid_clusters,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 #: Queries not listed here have no SQL form that is exact on whole tables; their tests compare
 #: them with brute force, round trips or held-out accuracy.
-ORACLE_SQL = {"op1_url_filter": urlfilter.OP1_SQL, "op3_warc": warc.OP3_SQL, "op9_quality_rules": quality.OP9_SQL}
+ORACLE_SQL = {
+    "op1_url_filter": urlfilter.OP1_SQL,
+    "op3_warc": warc.OP3_SQL,
+    "op9_quality_rules": quality.OP9_SQL,
+    "op11_exact_dedup": exactdedup.OP11_SQL,
+    "op12_centroid_clusters": centroids.OP12_SQL,
+}
