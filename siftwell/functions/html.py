@@ -8,13 +8,21 @@ Strings of script, style, template, rt and rp are not part of other elements' te
 with sizes of their subtrees) and ``meta`` candidates.  For walks, an element carries the number of
 the innermost ancestor that ends a content walk (``stop1``) or a heading-cluster walk (``stop2``):
 a walk rooted at r reaches it iff that number is below r's.
+
+Rows and cells nest where they are not closed, so the texts of a table's rows can add up to the square
+of the page or more.  They are not copied: the first element, the document, has an index of intervals
+(``tables``), cells as ranges of one array of strings, rows as ranges of cells, and a table is a range
+of rows; ``chars`` is how long its rows' texts would be.
 """
 
 from __future__ import annotations
 
 import re
+import time
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -39,14 +47,15 @@ META_PROPERTIES = (
     "og:title", "og:description", "og:site_name", "article:author", "article:published_time", "article:modified_time",
 )
 
-ROWS = "array<struct<cells:array<string>,is_header:boolean>>"
+RANGE = "first:int,last:int"
+TABLES = f"struct<strings:array<string>,cells:array<struct<{RANGE}>>,rows:array<struct<{RANGE},is_header:boolean>>>"
 ELEMENT = (
     "struct<pre:int,end:int,depth:int,tag:string,role:string,noise:boolean,text:string,text_len:int,link_len:int,"
-    f"weight:double,stop1:int,stop2:int,code_lang:string,rows:{ROWS}>"
+    f"weight:double,stop1:int,stop2:int,code_lang:string,rows:struct<{RANGE},chars:bigint>,tables:{TABLES}>"
 )
 META_FIELDS = ("title", "lang", "canonical", *(f"name:{n}" for n in META_NAMES), *(f"property:{n}" for n in META_PROPERTIES))
 META = "struct<" + ",".join(f"`{n}`:string" for n in META_FIELDS) + ">"
-DOM = f"struct<elements:array<{ELEMENT}>,meta:{META}>"
+DOM = f"struct<elements:array<{ELEMENT}>,meta:{META},ms:double>"
 
 _LANGUAGE = re.compile(r"language-(\w+)")
 _ASCII_SPACE = " \n\t\f\r"
@@ -89,7 +98,7 @@ class TreeBuilder(HTMLParser):
         self.open = [self.root]
         self.pending: list[str] = []
         self.strings: list[tuple[str, int, bool]] = []  # stripped, unstripped length, plain
-        self.closed_voids: list[str] = []
+        self.closed_voids: Counter[str] = Counter()
         self.open_tags: Counter[str] = Counter()
 
     def _flush(self) -> None:
@@ -108,7 +117,7 @@ class TreeBuilder(HTMLParser):
         self._open(tag, attrs)
         if tag in VOID_TAGS:
             self._pop(tag)
-            self.closed_voids.append(tag)
+            self.closed_voids[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._open(tag, attrs)
@@ -134,8 +143,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
-        if tag in self.closed_voids:
-            self.closed_voids.remove(tag)
+        if self.closed_voids[tag]:
+            self.closed_voids[tag] -= 1
         else:
             self._pop(tag)
 
@@ -198,14 +207,37 @@ def parse(html: str | None) -> TreeBuilder:
     return builder
 
 
-def _rows(tree: TreeBuilder, table: Element) -> list[dict]:
-    rows = []
-    for tr in tree.below(table):
-        if tr.tag == "tr":
-            cells = [c for c in tree.below(tr) if c.tag in ("td", "th")]
-            header = tr.parent.tag == "thead" or any(c.tag == "th" for c in cells)
-            rows.append({"cells": [tree.text(c) for c in cells], "is_header": header})
-    return rows
+class TableIndex:
+    """Strings, cells and rows (those with text in a cell) of a page, each a range of the one before."""
+
+    def __init__(self, tree: TreeBuilder):
+        kept = [bool(s) and plain for s, _, plain in tree.strings]
+        self.strings = [s for (s, _, _), k in zip(tree.strings, kept) if k]
+        at = list(accumulate(kept, initial=0))
+        cells = [e for e in tree.elements if e.tag in ("td", "th")]
+        self.cells = [(at[e.s0], at[e.s1]) for e in cells]
+        pres = [e.pre for e in cells]
+        heads = list(accumulate((e.tag == "th" for e in cells), initial=0))
+        filled = list(accumulate((last > first for first, last in self.cells), initial=0))
+        # lengths with the separators between strings, and between cells
+        chars = list(accumulate((len(x) + 1 for x in self.strings), initial=0))
+        texts = list(accumulate((max(0, chars[last] - chars[first] - 1) + 3 for first, last in self.cells), initial=0))
+        self.rows, self.pres, self.chars = [], [], [0]
+        for e in tree.elements:
+            if e.tag == "tr":
+                first, last = bisect_right(pres, e.pre), bisect_right(pres, e.end)
+                if filled[last] > filled[first]:
+                    self.rows.append((first, last, e.parent.tag == "thead" or heads[last] > heads[first]))
+                    self.pres.append(e.pre)
+                    self.chars.append(self.chars[-1] + texts[last] - texts[first] - 3)
+
+    def of(self, table: Element) -> dict:
+        first, last = bisect_right(self.pres, table.pre), bisect_right(self.pres, table.end)
+        return {"first": first, "last": last, "chars": self.chars[last] - self.chars[first]}
+
+    def struct(self) -> dict:
+        cells = [{"first": a, "last": b} for a, b in self.cells]
+        return {"strings": self.strings, "cells": cells, "rows": [{"first": a, "last": b, "is_header": h} for a, b, h in self.rows]}
 
 
 def _code_lang(tree: TreeBuilder, pre: Element) -> str | None:
@@ -234,8 +266,10 @@ def _meta(tree: TreeBuilder) -> dict[str, str | None]:
 
 
 def page(html: str | None) -> dict:
-    """The ``dom`` struct of one page."""
+    """The ``dom`` struct of one page; ``ms`` is how long it took."""
+    began = time.perf_counter()
     tree, out = parse(html), []
+    tables = TableIndex(tree) if any(e.tag == "table" for e in tree.elements) else None
     for e in tree.elements:
         content, table = e.tag in CONTENT_TAGS, e.tag == "table"
         if content and e.root <= e.stop2:
@@ -246,20 +280,25 @@ def page(html: str | None) -> dict:
             {
                 "pre": e.pre, "end": e.end, "depth": e.depth, "tag": e.tag, "role": e.attrs.get("role"), "noise": e.noise,
                 "text": tree.text(e) if content else None, "text_len": e.strip, "link_len": e.link, "weight": e.weight,
-                "stop1": e.stop1, "stop2": e.stop2, "code_lang": _code_lang(tree, e) if e.tag == "pre" else None, "rows": _rows(tree, e) if table else None,
+                "stop1": e.stop1, "stop2": e.stop2, "code_lang": _code_lang(tree, e) if e.tag == "pre" else None, "rows": tables.of(e) if table else None,
+                "tables": tables.struct() if tables and not e.pre else None,
             }
         )
-    return {"elements": out, "meta": _meta(tree)}
+    return {"elements": out, "meta": _meta(tree), "ms": (time.perf_counter() - began) * 1000}
 
 
+_RANGE = [("first", pa.int32()), ("last", pa.int32())]
+_TABLES_TYPE = pa.struct(
+    [("strings", pa.list_(pa.string())), ("cells", pa.list_(pa.struct(_RANGE))), ("rows", pa.list_(pa.struct([*_RANGE, ("is_header", pa.bool_())])))]
+)
 _ELEMENT_TYPE = pa.struct(
     [
         ("pre", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("role", pa.string()), ("noise", pa.bool_()),
         ("text", pa.string()), ("text_len", pa.int32()), ("link_len", pa.int32()), ("weight", pa.float64()), ("stop1", pa.int32()), ("stop2", pa.int32()),
-        ("code_lang", pa.string()), ("rows", pa.list_(pa.struct([("cells", pa.list_(pa.string())), ("is_header", pa.bool_())]))),
+        ("code_lang", pa.string()), ("rows", pa.struct([*_RANGE, ("chars", pa.int64())])), ("tables", _TABLES_TYPE),
     ]
 )
-_DOM_TYPE = pa.struct([("elements", pa.list_(_ELEMENT_TYPE)), ("meta", pa.struct([(n, pa.string()) for n in META_FIELDS]))])
+_DOM_TYPE = pa.struct([("elements", pa.list_(_ELEMENT_TYPE)), ("meta", pa.struct([(n, pa.string()) for n in META_FIELDS])), ("ms", pa.float64())])
 
 
 def _pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -40,7 +40,10 @@ def where_after(rows: DataFrame, condition: Column) -> DataFrame:
     """``rows`` that fulfil a condition on computed columns.  The partition number is not
     deterministic, so the filter stays above what computes them; pushed below, it would compute
     (and parse) everything it needs once more."""
-    return rows.withColumn("fence", F.spark_partition_id()).where(condition & (F.col("fence") >= 0)).drop("fence")
+    fence = "fence"
+    while fence in rows.columns:
+        fence += "_"
+    return rows.withColumn(fence, F.spark_partition_id()).where(condition & (F.col(fence) >= 0)).drop(fence)
 
 
 def let(value: Column, body) -> Column:

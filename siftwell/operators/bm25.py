@@ -18,28 +18,39 @@ BUDGET, HEADING_BOOST, DEPTH_DECAY, MIN_SECTIONS = 1200, 2.5, 0.4, 2
 RESULT = f"struct<nodes:array<{NODE}>,confidence:double>"
 
 
+def postings(corpus: Column, terms: Column) -> Column:
+    """For each token list of ``corpus`` its tokens that are ``terms``: the index that scores are
+    computed from, made in one pass over the words.  Lists without any are told by hashing."""
+    return F.transform(corpus, lambda d: F.when(F.arrays_overlap(d, terms), F.filter(d, lambda w: F.array_contains(terms, w))).otherwise(F.array().cast("array<string>")))
+
+
 def bm25_plus(corpus: Column, terms: Column) -> Column:
     """Score of each token list of ``corpus`` for the query ``terms`` (repeats count again).  A
-    known term adds its idf to every list, and a corpus without tokens scores 0."""
+    known term adds its idf to every list, and a corpus without tokens scores 0.  Words are read
+    once, whatever the number of terms; the rest is in proportion to the matches and lists."""
 
     def scores(c: Column) -> Column:
         n = F.size(c)
         average = F.aggregate(c, F.lit(0).cast("long"), lambda a, d: a + F.size(d)) / n
-        known = F.transform(terms, lambda q: F.struct(q.alias("term"), F.size(F.filter(c, lambda d: F.array_contains(d, q))).alias("df")))
 
-        def with_terms(x: Column) -> Column:
-            def score(d: Column) -> Column:
-                norm = K1 * (1 - B + B * F.size(d) / x["average"])
+        def with_hits(hits: Column) -> Column:
+            known = F.transform(terms, lambda q: F.struct(q.alias("term"), F.size(F.filter(hits, lambda d: F.array_contains(d, q))).alias("df")))
+
+            def with_terms(x: Column) -> Column:
+                def score(d: Column, i: Column) -> Column:
+                    norm = K1 * (1 - B + B * F.size(d) / x["average"])
+
+                    def add(a: Column, t: Column) -> Column:
+                        tf = F.size(F.filter(F.get(hits, i), lambda w: w == t["term"]))
+                        return a + F.when(t["df"] > 0, F.log((x["n"] + 1) / t["df"]) * (DELTA + tf * (K1 + 1) / (norm + tf))).otherwise(0.0)
 
-                def add(a: Column, t: Column) -> Column:
-                    tf = F.size(F.filter(d, lambda w: w == t["term"]))
-                    return a + F.when(t["df"] > 0, F.log((x["n"] + 1) / t["df"]) * (DELTA + tf * (K1 + 1) / (norm + tf))).otherwise(0.0)
+                    return F.aggregate(x["known"], F.lit(0.0), add)
 
-                return F.aggregate(x["known"], F.lit(0.0), add)
+                return F.when(x["average"] > 0, F.transform(c, score)).otherwise(F.transform(c, lambda d: F.lit(0.0)))
 
-            return F.when(x["average"] > 0, F.transform(c, score)).otherwise(F.transform(c, lambda d: F.lit(0.0)))
+            return let(F.struct(average.alias("average"), known.alias("known"), n.alias("n")), with_terms)
 
-        return let(F.struct(average.alias("average"), known.alias("known"), n.alias("n")), with_terms)
+        return let(postings(c, F.array_distinct(terms)), with_hits)
 
     return let(corpus, scores)
 

@@ -22,6 +22,9 @@ BOILERPLATE = (
 MIN_NODES, MIN_CHARS = 4, 200
 MIN_CLUSTERS, MIN_CLUSTER_CHARS, MAX_LINKS, MIN_FLAT = 2, 400, 0.3, 3
 MIN_CONTAINER_CHARS, DEPTH_STEP = 200, 0.04
+#: A table whose rows' texts come to more, as rows never closed hold each other, has no rows; the page
+#: counts as failed, since its Markdown could not be held.
+MAX_TABLE_CHARS = 1 << 27
 
 
 def _tag_in(element: Column, tags) -> Column:
@@ -45,35 +48,63 @@ def _node(e: Column, root: Column, tag: Column, text: Column, cells: Column, hea
     )
 
 
-def _table_nodes(e: Column, root: Column) -> Column:
-    rows = F.filter(e["rows"], lambda r: F.exists(r["cells"], lambda c: c != ""))
-    return F.transform(rows, lambda r: _node(e, root, F.lit("table_row"), F.array_join(r["cells"], " | "), r["cells"], r["is_header"]))
+def _range(values: Column, span: Column) -> Column:
+    return F.slice(values, span["first"] + 1, span["last"] - span["first"])
+
+
+def _table_nodes(e: Column, root: Column, tables: Column) -> Column:
+    def row(r: Column) -> Column:
+        cells = F.transform(_range(tables["cells"], r), lambda c: F.array_join(_range(tables["strings"], c), " "))
+        return let(cells, lambda texts: _node(e, root, F.lit("table_row"), F.array_join(texts, " | "), texts, r["is_header"]))
+
+    rows = F.when(e["rows"]["chars"] <= MAX_TABLE_CHARS, _range(tables["rows"], e["rows"]))
+    return F.transform(F.coalesce(rows, F.array().cast("array<struct<first:int,last:int,is_header:boolean>>")), row)
+
+
+def overflowing(elements: Column) -> Column:
+    """Whether a page has a table whose rows cannot be held."""
+    return F.exists(elements, lambda e: F.coalesce(e["rows"]["chars"] > MAX_TABLE_CHARS, F.lit(False)))
+
+
+def _firsts(nodes: Column) -> Column:
+    """Nodes without those whose text an earlier one has; table rows all stay.  Equal texts come
+    together in a sort, so that a page of n nodes takes n log n steps."""
+
+    def kept(n: Column) -> Column:
+        places = F.transform(n, lambda x, i: F.struct((x["tag"] != "table_row").alias("text"), F.when(x["tag"] != "table_row", x["text"]).alias("t"), i.alias("i")))
+
+        def first_places(p: Column) -> Column:
+            fresh = lambda x, k: ~x["text"] | (k == 0) | ~x["t"].eqNullSafe(F.get(p, k - 1)["t"])
+            return F.sort_array(F.transform(F.filter(p, fresh), lambda x: x["i"]))
+
+        return F.transform(let(F.sort_array(places), first_places), lambda i: F.get(n, i))
+
+    return let(nodes, kept)
 
 
 def walk(elements: Column, root: Column) -> Column:
     """Content nodes below ``root`` (an element): noise pruned, content tags and tables taken whole,
     short texts and boilerplate dropped, of equal texts the first kept."""
 
-    def from_root(r: Column) -> Column:
+    def from_root(x: Column) -> Column:
+        r = x["root"]
+
         def reached(e: Column) -> Column:
             return (e["pre"] >= r["pre"]) & (e["pre"] <= r["end"]) & (e["stop1"] < r["pre"]) & _tag_in(e, CONTENT_TAGS | {"table"})
 
         def nodes(e: Column) -> Column:
             no_cells = F.lit(None).cast("array<string>")
             one = F.array(_node(e, r, e["tag"], e["text"], no_cells, F.lit(False)))
-            return F.when(e["tag"] == "table", _table_nodes(e, r)).otherwise(one)
+            return F.when(e["tag"] == "table", _table_nodes(e, r, x["tables"])).otherwise(one)
 
         def wanted(n: Column) -> Column:
             long = F.length(n["text"]) >= F.when(n["tag"].isin(*HEADINGS), 3).otherwise(10)
             return (n["tag"] == "table_row") | (long & ~n["text"].rlike(BOILERPLATE))
 
-        def firsts(kept: Column) -> Column:
-            texts = F.transform(kept, lambda n: F.when(n["tag"] != "table_row", n["text"]))
-            return let(texts, lambda t: F.filter(kept, lambda n, i: (n["tag"] == "table_row") | (F.array_position(t, n["text"]) == i + 1)))
-
-        return numbered(let(F.filter(F.flatten(F.transform(F.filter(elements, reached), nodes)), wanted), firsts))
+        return numbered(_firsts(F.filter(F.flatten(F.transform(F.filter(elements, reached), nodes)), wanted)))
 
-    return let(root, from_root)
+    both = F.struct(root.alias("root"), F.get(elements, F.lit(0))["tables"].alias("tables"))
+    return F.when(root.isNotNull(), let(both, from_root))
 
 
 def first_of(elements: Column, tag: str) -> Column:

@@ -24,15 +24,17 @@ def ttl_hits(requests: DataFrame, key: str, at: Column, ttl: float = TTL, order:
 
     A key's log is one ordered stream, read row by row with one number of state, so a hot key costs
     time in one task but no memory."""
+    if len({key, order, "hit"}) < 3:
+        raise ValueError("key and order are two columns, neither of them named hit")
     seconds = at.cast("timestamp").cast("double")
-    log = requests.select(F.col(key), F.col(order), seconds.alias("t"))
+    log = requests.select(F.col(f"`{key}`").alias("key"), F.col(f"`{order}`").alias("seq"), seconds.alias("t"))
     kinds = dict(log.dtypes)
-    ordered = log.repartition(key).sortWithinPartitions(key, "t", order)
+    ordered = log.repartition("key").sortWithinPartitions("key", "t", "seq")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, until = None, float("-inf")
         for frame in frames:
-            hits, keys = [], frame[key]
+            hits, keys = [], frame["key"]
             if keys.isna().any():  # nulls are one key
                 keys = keys.astype(object).where(keys.notna(), None)
             for k, t in zip(keys, frame["t"]):
@@ -40,9 +42,9 @@ def ttl_hits(requests: DataFrame, key: str, at: Column, ttl: float = TTL, order:
                     current, until = k, float("-inf")
                 hits.append(ttl > 0 and t < until)
                 until = until if hits[-1] else t + ttl
-            yield pd.DataFrame({key: frame[key], order: frame[order], "hit": hits})
+            yield pd.DataFrame({key: frame["key"], order: frame["seq"], "hit": hits})
 
-    return ordered.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, hit boolean")
+    return ordered.mapInPandas(run, f"`{key}` {kinds['key']}, `{order}` {kinds['seq']}, hit boolean")
 
 
 def lru_cache(requests: DataFrame, key: str, at: Column, *, ttl: float = TTL, max_size: int = MAX_SIZE, shard: str | None = None, order: str = "event_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.plans.prune import checked, prune
+from siftwell.plans.prune import checked, page_columns, prune
 
 DOCUMENT_KEYS = ("source", "render_type", "original_tokens", "refined_tokens", "reduction_ratio", "bm25_confidence", "cached")
 
@@ -29,12 +29,13 @@ def markdown_of(pages: DataFrame, url: str, query: str = "") -> DataFrame:
 
 
 def asked_for(urls: DataFrame, pages: DataFrame, ignore_errors: bool) -> DataFrame:
-    """``urls`` with their pages; unless errors are ignored, one without a page stays with an error."""
-    if ignore_errors:
-        return urls.join(pages, "url")
-    found = urls.join(pages.withColumn("there", F.lit(True)), "url", "left")
-    known = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None)
-    return found.withColumn("fetch_error", F.when(F.col("there").isNull(), F.concat(F.lit("No such page: "), "url")).otherwise(known))
+    """``urls`` with html, fetch_error and fetch_ms of their pages; unless errors are ignored, one
+    without a page stays with an error.  Other columns of ``pages`` are not read."""
+    own = {c: F.col("page")[c] for c in page_columns(pages) if c != "url"}
+    known = pages.select("url", F.struct(*[c for c in own]).alias("page"))
+    found = urls.join(known, "url", "inner" if ignore_errors else "left")
+    error = F.when(F.col("page").isNull(), F.concat(F.lit("No such page: "), "url")).otherwise(own.pop("fetch_error", F.lit(None)))
+    return found.select(*urls.columns, *[x.alias(c) for c, x in own.items()], error.alias("fetch_error"))
 
 
 def load_batch(pages: DataFrame, urls: DataFrame, query: str = "", *, ignore_errors: bool = True) -> DataFrame:
@@ -66,7 +67,7 @@ def to_json(results: DataFrame) -> DataFrame:
 def human(row: dict) -> str:
     """A result for people."""
     meta = row["meta"] or {}
-    confidence = f"{row['bm25_confidence']:.2f}" if row["bm25_confidence"] else "—"
+    confidence = f"{row['bm25_confidence']:.2f}" if row["bm25_confidence"] else "—"  # also where nothing matched
     lines = [("URL", row["url"])]
     lines += [("Title", meta["title"])] if meta.get("title") else []
     lines += [
@@ -80,6 +81,20 @@ def human(row: dict) -> str:
     return "\n".join([*(f"{k:<13}: {v}" for k, v in lines), "─" * 60, row["markdown"]])
 
 
+def human_text(results: DataFrame) -> DataFrame:
+    """(url, text) of results for people, as ``human`` writes one; numbers rounded half up."""
+    m = F.col("meta")
+    count = lambda c: F.format_number(F.col(c), 0)
+    shown = F.when(F.coalesce(F.col("bm25_confidence"), F.lit(0.0)) == 0, "—").otherwise(F.format_string("%.2f", "bm25_confidence"))
+    tokens = F.concat(count("original_tokens"), F.lit(" → "), count("refined_tokens"), F.lit("  ("), F.format_string("%.1f", F.col("reduction_ratio") * 100), F.lit("% reduction)"))
+    lines = [("URL", F.col("url")), ("Title", F.nullif(m["title"], F.lit(""))), ("Render type", F.col("render_type")), ("Tokens", tokens), ("BM25 score", shown)]
+    lines += [("Cached", F.when(F.col("cached"), "Yes").otherwise("No")), ("Fetch", F.format_string("%.0fms  Parse: %.0fms", "fetch_ms", "parse_ms"))]
+    named = [F.concat(F.lit(f"{k:<13}: "), v) for k, v in lines]
+    others = F.transform(F.map_entries(F.map_filter("meta", lambda k, v: k != "title")), lambda e: F.concat(F.rpad(e["key"], F.greatest(F.length(e["key"]), F.lit(13)), F.lit(" ")), F.lit(": "), e["value"]))
+    text = F.concat_ws("\n", *named, F.array_join(F.array_append(F.coalesce(others, F.array().cast("array<string>")), F.lit("─" * 60)), "\n"), F.col("markdown"))
+    return results.select("url", text.alias("text"))
+
+
 def matches_prefix(url: Column, prefixes: Sequence[str] | None) -> Column:
     """Whether a URL starts with any prefix; without prefixes every URL does."""
     if not prefixes:

@@ -1,14 +1,23 @@
-"""Sitemaps: URL sets and nested indexes, as tables of (url, xml)."""
+"""Sitemaps: URL sets and nested indexes, as tables of (url, xml).
+
+Expansion is the transitive closure of the indexes.  The XML is parsed once, into a table of edges
+on shared storage with the indexes' apart from the URL sets'.  Round by round the sitemaps reached
+last are joined with the indexes' edges, which are few beside the pages, and only what is new goes
+on; each round is a table of its own, so plans do not grow, and the driver sees one row of counts.
+The sets' edges, which are as many as the pages, are read once, in one join with all that was reached.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import strip
 from siftwell.sources.pages import load_batch, matches_prefix
+from siftwell.sources.storage import written
 
 
 def _locations(xml, kind: str):
@@ -24,27 +33,38 @@ def parse(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.select("url", is_index.alias("is_index"), found.alias("urls"))
 
 
+def edges(sitemaps: DataFrame) -> DataFrame:
+    """(parent, place, child, is_index) of every location of every sitemap, on shared storage."""
+    rows = parse(sitemaps).select(F.col("url").alias("parent"), F.posexplode("urls").alias("place", "child"), "is_index")
+    return written(rows, "sitemap-edges", ["is_index"])
+
+
+def reached(indexes: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
+    """(ord, at) of every sitemap below ``root``, it included, as often as indexes lead there; ``ord``
+    are the places on the way.  ``indexes`` (parent, place, child) must be materialised."""
+    spark = indexes.sparkSession
+    levels = [spark.createDataFrame([([0], root, [root])], "ord array<int>, at string, path array<string>")]
+    while max_depth is None or len(levels) < max_depth:
+        step = levels[-1].join(indexes, F.col("at") == F.col("parent"))
+        level = step.select(F.array_append("ord", F.col("place")).alias("ord"), F.col("child").alias("at"), F.array_append("path", F.col("child")).alias("path"), F.array_contains("path", F.col("child")).alias("again"))
+        level = written(level, "sitemap-level")
+        found = level.agg(F.count("*").alias("rows"), F.min(F.when(F.col("again"), F.col("at"))).alias("again")).first()
+        if not found.rows:
+            break
+        if max_depth is None and found.again is not None:
+            raise ValueError(f"sitemap index below itself: {found.again}")
+        levels.append(level.drop("again"))
+    return reduce(DataFrame.unionAll, levels).select("ord", "at")
+
+
 def expand(sitemaps: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """(ord, url) of all pages under a sitemap, child after child, repeats kept; a child that is not
-    in the table adds nothing.  Each level is one join.  An index below itself raises, unless
-    ``max_depth`` bounds the levels."""
-    spark, known = sitemaps.sparkSession, parse(sitemaps)
-    level = spark.createDataFrame([([0], root, [root])], "ord array<int>, at string, path array<string>")
-    pages, depth = None, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        joined = level.join(known, F.col("at") == F.col("url")).select("ord", "path", "is_index", F.posexplode("urls").alias("i", "found"))
-        step = joined.select(F.array_append("ord", F.col("i")).alias("ord"), "path", "is_index", "found")
-        own = step.where("NOT is_index").select("ord", F.col("found").alias("url"))
-        pages = own if pages is None else pages.unionAll(own)
-        below = step.where("is_index").select("ord", F.col("found").alias("at"), "path", F.array_contains("path", F.col("found")).alias("again"))
-        found = below.collect()  # an index's children: as many as there are sitemap files, not pages
-        if not found:
-            break
-        if max_depth is None and (again := next((r.at for r in found if r.again), None)):
-            raise ValueError(f"sitemap index below itself: {again}")
-        level = spark.createDataFrame([(r.ord, r.at, [*r.path, r.at]) for r in found], "ord array<int>, at string, path array<string>")
-    return pages
+    in the table adds nothing, a sitemap listed twice in the table counts twice.  An index below
+    itself raises, unless ``max_depth`` bounds the levels.  Columns but url and xml are not read."""
+    known = edges(sitemaps)
+    found = reached(known.where("is_index").drop("is_index"), root, max_depth)
+    pages = found.join(known.where("NOT is_index"), F.col("at") == F.col("parent"))
+    return pages.select(F.array_append("ord", F.col("place")).alias("ord"), F.col("child").alias("url"))
 
 
 def load_sitemap(pages: DataFrame, sitemaps: DataFrame, root: str, query: str = "", *, prefixes: Sequence[str] | None = None, ignore_errors: bool = True) -> DataFrame:

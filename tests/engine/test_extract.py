@@ -28,9 +28,10 @@ class Tree:
             if e.tag in H.NOISE_TAGS:
                 return
             if e.tag == "table":
-                for r in H._rows(self.t, e):
-                    if any(r["cells"]):
-                        out.append(("table_row", " | ".join(r["cells"]), depth))
+                for tr in self.t.below(e):
+                    cells = [self.t.text(c) for c in self.t.below(tr) if c.tag in ("td", "th")]
+                    if tr.tag == "tr" and any(cells):
+                        out.append(("table_row", " | ".join(cells), depth))
             elif e.tag in H.CONTENT_TAGS:
                 text = self.t.text(e)
                 low = text.lower()
