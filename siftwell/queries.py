@@ -15,8 +15,8 @@ from siftwell.operators.meta import meta
 from siftwell.operators.sections import sections
 from siftwell.operators.serialize import serialize
 from siftwell.plans.prune import checked, parsed, prune, prune_requests
+from siftwell.sources import fetch, sink, sitemap, storage
 from siftwell.sources import pages as sources
-from siftwell.sources import sitemap
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -193,16 +193,21 @@ def distinct_lines(spark, sf_dir):
     return page.select("doc_id", "pos", "text")
 
 
-@query(
-    """SELECT doc_id, 'p' AS tag, 'Kept paragraph ' || doc_id AS text FROM documents"""
-)
+CLEAN = rf"""clean AS (SELECT doc_id, {strip_sql(collapse_sql("text"))} AS t FROM documents)"""
+
+
+def clean_documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", f"{SPACE}+", " "), "^ | $", "").alias("t"))
+
+
+@query(f"WITH {CLEAN} SELECT doc_id, 'p' AS tag, {strip_sql("'Kept paragraph ' || doc_id || ' ' || coalesce(t, '')")} AS text FROM clean")
 def noise_pruning(spark, sf_dir):
-    """One paragraph outside, others inside every kind of noise."""
+    """A document's text outside, and again inside every kind of noise."""
     walls = [("nav", ""), ("footer", ""), ("div", 'class="x popup y"'), ("section", 'role="banner"'), ("div", 'id="Cookie-Banner"'), ("div", 'aria-label="Table of Contents"'), ("form", "")]
-    inner = "<p>Noise paragraph number one</p>"
-    noise = "".join(f"<{t} {a}>{inner}</{t}>" for t, a in walls)
-    html = F.concat(F.lit(f"<html><body>{noise}<div class='popups'><p>Kept paragraph "), F.col("doc_id"), F.lit(f"</p></div>{noise}</body></html>"))
-    page = parsed(table(spark, sf_dir, "documents").select("doc_id", html.alias("html")))
+    t = escaped(F.coalesce("t", F.lit("")))
+    noise = F.concat(*[F.concat(F.lit(f"<{tag} {a}><p>Noise paragraph "), t, F.lit(f"</p></{tag}>")) for tag, a in walls])
+    html = F.concat(F.lit("<html><body>"), noise, F.lit("<div class='popups'><p>Kept paragraph "), F.col("doc_id"), F.lit(" "), t, F.lit("</p></div>"), noise, F.lit("</body></html>"))
+    page = parsed(clean_documents(spark, sf_dir).select("doc_id", html.alias("html")))
     return page.select("doc_id", F.inline(extract.l1_nodes(F.col("dom.elements")))).select("doc_id", "tag", "text")
 
 
@@ -234,10 +239,13 @@ def table_markdown(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, ['python', 'c', NULL][1 + doc_id % 3] AS code_lang, '```' || coalesce(['python', 'c', NULL][1 + doc_id % 3], '') || chr(10) || 'x = ' || lpad(doc_id::VARCHAR, 9, '0') || chr(10) || '```' AS markdown FROM documents"""
+    f"""WITH code AS (SELECT doc_id, ['python', 'c', NULL][1 + doc_id % 3] AS lang, {strip_sql("coalesce(text, '')")} AS body FROM documents)
+SELECT doc_id, CASE WHEN length(body) >= 10 THEN lang END AS code_lang,
+  CASE WHEN length(body) >= 10 THEN '```' || coalesce(lang, '') || chr(10) || body || chr(10) || '```' ELSE '' END AS markdown FROM code"""
 )
 def code_languages(spark, sf_dir):
-    body = F.format_string("x = %09d", "doc_id")
+    """Documents as blocks of code, line by line as they are."""
+    body = escaped(F.coalesce("text", F.lit("")))
     kinds = [
         F.concat(F.lit('<pre class="hl language-python">'), body, F.lit("</pre>")),
         F.concat(F.lit('<pre><span></span><code class="language-c x">'), body, F.lit("</code></pre>")),
@@ -248,13 +256,6 @@ def code_languages(spark, sf_dir):
     return nodes.select("doc_id", F.get("n", F.lit(0))["code_lang"].alias("code_lang"), serialize(F.col("n")).alias("markdown"))
 
 
-CLEAN = rf"""clean AS (SELECT doc_id, {strip_sql(collapse_sql("text"))} AS t FROM documents)"""
-
-
-def clean_documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", f"{SPACE}+", " "), "^ | $", "").alias("t"))
-
-
 @query(
     f"""WITH {CLEAN}, sized AS (SELECT doc_id, coalesce(length(t), 0) AS n FROM clean)
 SELECT doc_id, 2 * (5 + n) + 24 >= 1200 AS clustered, CASE WHEN 2 * (5 + n) + 24 >= 1200 THEN 5 ELSE 0 END AS nodes FROM sized"""
@@ -311,19 +312,23 @@ def ssg_pages(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, [5, 4, 1][1 + doc_id % 3] AS nodes, ['p', 'h2', 'p'][1 + doc_id % 3] AS first_tag, [1, 3, 1][1 + doc_id % 3] AS depth FROM documents"""
+    f"""WITH {CLEAN}, sized AS (SELECT doc_id, doc_id % 3 AS shape, coalesce(length(t), 0) AS n FROM clean)
+SELECT doc_id, CASE shape WHEN 0 THEN 5 WHEN 1 THEN CASE WHEN n >= 395 THEN 4 WHEN n >= 95 THEN 3 ELSE 0 END ELSE CASE WHEN n >= 10 THEN 1 ELSE 0 END END AS nodes,
+  CASE WHEN shape = 0 OR (shape = 2 AND n >= 10) THEN 'p' WHEN shape = 1 AND n >= 95 THEN 'h2' END AS first_tag,
+  CASE WHEN shape = 0 OR (shape = 2 AND n >= 10) THEN 1 WHEN shape = 1 AND n >= 395 THEN 3 WHEN shape = 1 AND n >= 95 THEN 1 END AS depth FROM sized"""
 )
 def cascade_choice(spark, sf_dir):
-    """Pages that the content walk covers, that only heading clusters cover, and that neither does."""
-    long = "Words of a paragraph that is long enough to matter. " * 9
-    numbered_p = "".join(f"<p>Paragraph number {k} with words enough to count for coverage</p>" for k in range(5))
+    """Documents as pages that the content walk covers, that have nothing outside a form, so that heading
+    clusters cover them if the text is long enough and else the densest container, and that no layer covers."""
+    t = escaped(F.coalesce("t", F.lit("")))
+    five = F.concat(*[F.concat(F.lit(f"<p>Paragraph number {k} "), t, F.lit("</p>")) for k in range(5)])
     shapes = [
-        f"<body>{numbered_p}</body>",
-        f"<body><form><main><div><section><h2>First</h2><p>{long}</p><h3>Second</h3><p>{long}</p></section></div></main></form></body>",
-        f"<body><nav><p>away with this</p></nav><p>{long}</p><article></article></body>",
+        F.concat(F.lit("<body>"), five, F.lit("</body>")),
+        F.concat(F.lit("<body><form><main><div><section><h2>First</h2><p>"), t, F.lit("</p><h3>Second</h3><p>"), t, F.lit("</p></section></div></main></form></body>")),
+        F.concat(F.lit("<body><nav><p>away with this</p></nav><p>"), t, F.lit("</p><article></article></body>")),
     ]
-    html = F.get(F.array(*map(F.lit, shapes)), (F.col("doc_id") % 3).cast("int"))
-    page = extract.with_nodes(parsed(table(spark, sf_dir, "documents").select("doc_id", html.alias("html"))))
+    html = F.get(F.array(*shapes), (F.col("doc_id") % 3).cast("int"))
+    page = extract.with_nodes(parsed(clean_documents(spark, sf_dir).select("doc_id", html.alias("html"))))
     first = F.get("nodes", F.lit(0))
     return page.select("doc_id", F.size("nodes").alias("nodes"), first["tag"].alias("first_tag"), first["depth"].alias("depth"))
 
@@ -339,18 +344,18 @@ def published_filter(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'About ' || page_id WHEN 1 THEN 'Graph ' || page_id END AS description, '2024-02-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') AS modified_time,
-  'Site ' || page_id % 7 AS site_name, 'Titled ' || page_id AS title, CASE WHEN page_id % 3 < 2 THEN 4 ELSE 3 END AS fields FROM pages"""
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'About ' || url WHEN 1 THEN 'Graph ' || url END AS description, '2024-02-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') AS modified_time,
+  'Site ' || split_part(url, '/', 3) AS site_name, 'Titled ' || url AS title, CASE WHEN page_id % 3 < 2 THEN 4 ELSE 3 END AS fields FROM pages"""
 )
 def meta_fallbacks(spark, sf_dir):
     """Later places stand in for fields whose first place is empty; other data in the head is not read."""
-    number, third = F.col("page_id").cast("string"), F.col("page_id") % 3
+    url, third = F.replace(escaped(F.col("url")), F.lit('"'), F.lit("&quot;")), F.col("page_id") % 3
     html = F.concat(
-        F.lit('<head><title> </title><script type="application/ld+json">{"description":"never"}</script><meta property="og:title" content=" Titled '), number,
-        F.lit('"><meta property="og:site_name" content="Site '), (F.col("page_id") % 7).cast("string"), F.lit('"><meta property="article:modified_time" content="'),
+        F.lit('<head><title> </title><script type="application/ld+json">{"description":"never"}</script><meta property="og:title" content=" Titled '), url,
+        F.lit('"><meta property="og:site_name" content="Site '), F.split_part(url, F.lit("/"), F.lit(3)), F.lit('"><meta property="article:modified_time" content="'),
         F.format_string("2024-02-%02d", 1 + F.col("page_id") % 28), F.lit('">'),
-        F.when(third == 0, F.concat(F.lit('<meta property="og:description" content="no"><meta name="description" content="About '), number, F.lit(' ">')))
-        .when(third == 1, F.concat(F.lit('<meta name="description" content=""><meta property="og:description" content="Graph '), number, F.lit('">'))).otherwise(""),
+        F.when(third == 0, F.concat(F.lit('<meta property="og:description" content="no"><meta name="description" content="About '), url, F.lit(' ">')))
+        .when(third == 1, F.concat(F.lit('<meta name="description" content=""><meta property="og:description" content="Graph '), url, F.lit('">'))).otherwise(""),
         F.lit("</head><body></body>"),
     )
     found = parsed(table(spark, sf_dir, "pages").select("page_id", html.alias("html"))).select("page_id", meta(F.col("dom.meta")).alias("m"))
@@ -361,21 +366,27 @@ STATIC = "Words of a static page that are rendered from its payload, long enough
 PARTS = ("One", "Two", "Three", "Four")
 
 
+def json_text(c: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r'(?s)^\{"t":|\}$', "")
+
+
 def branch_pages(spark, sf_dir) -> DataFrame:
     """Results of pages of five kinds, by doc_id: static; static with a query that selects sections;
-    with a payload that is empty, or that renders too little; without content."""
-    number, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 5
-    parts = [F.concat(F.lit(f"<h2>Part {k}</h2><p>Filler words about part {k} of page "), number, F.lit(" needle</p>" if k in ("Two", "Four") else "</p>")) for k in PARTS]
-    good = F.concat(F.lit('{"props":{"pageProps":{"content":[["$","p",null,{"children":"' + STATIC), number, F.lit('"}]]}}}'))
-    payload = F.when(kind < 2, good).when(kind == 2, "{}").otherwise('{"props":{"pageProps":{"content":["few"]}}}')
+    with a payload that is empty, or that renders too little; without content.  The document's text
+    is in the payload and in every section."""
+    number, kind, t = F.col("doc_id").cast("string"), F.col("doc_id") % 5, F.coalesce("t", F.lit(""))
+    words = {k: F.concat(F.lit(f"Filler words about part {k} of page "), number, F.lit(" needle " if k in ("Two", "Four") else " "), escaped(t)) for k in PARTS}
+    parts = [F.concat(F.lit(f"<h2>Part {k}</h2><p>"), words[k], F.lit("</p>")) for k in PARTS]
+    good = F.concat(F.lit('{"props":{"pageProps":{"content":[["$","p",null,{"children":'), json_text(F.concat(F.lit(STATIC), number, F.lit(" "), t)), F.lit("}]]}}}"))
+    payload = F.when(kind < 2, F.replace(good, F.lit("</"), F.lit("<\\/"))).when(kind == 2, "{}").otherwise('{"props":{"pageProps":{"content":["few"]}}}')
     whole = F.concat(F.lit('<html><head><script id="__NEXT_DATA__" type="x">'), payload, F.lit("</script></head><body>"), *parts, F.lit("</body></html>"))
     html = F.when(kind == 4, "<html><body></body></html>").otherwise(whole)
-    rows = table(spark, sf_dir, "documents").select("doc_id", number.alias("url"), html.alias("html"), F.when(kind == 1, "needle").otherwise("").alias("asked"))
+    rows = clean_documents(spark, sf_dir).select("doc_id", number.alias("url"), html.alias("html"), F.when(kind == 1, "needle").otherwise("").alias("asked"))
     return prune(rows, F.col("asked"), budget=1, keep=("doc_id",))
 
 
 def part_sql(k: str) -> str:
-    return f"'## Part {k}' || chr(10) || chr(10) || 'Filler words about part {k} of page ' || doc_id" + (" || ' needle'" if k in ("Two", "Four") else "")
+    return f"'## Part {k}' || chr(10) || chr(10) || trim('Filler words about part {k} of page ' || doc_id || ' {'needle ' if k in ('Two', 'Four') else ''}' || t)"
 
 
 def parts_sql(*parts: str) -> str:
@@ -383,8 +394,9 @@ def parts_sql(*parts: str) -> str:
 
 
 @query(
-    f"""SELECT doc_id, ['SSG', 'SSG', 'SSR', 'SSR', 'CSR'][1 + doc_id % 5] AS render_type, CASE WHEN doc_id % 5 = 1 THEN 'BM25' ELSE 'full' END AS mode,
-  CASE doc_id % 5 WHEN 0 THEN '{STATIC}' || doc_id WHEN 1 THEN {parts_sql("Two", "Four")} WHEN 4 THEN '' ELSE {parts_sql(*PARTS)} END AS markdown FROM documents"""
+    f"""WITH {CLEAN}, whole AS (SELECT doc_id, coalesce(t, '') AS t FROM clean)
+SELECT doc_id, ['SSG', 'SSG', 'SSR', 'SSR', 'CSR'][1 + doc_id % 5] AS render_type, CASE WHEN doc_id % 5 = 1 THEN 'BM25' ELSE 'full' END AS mode,
+  CASE doc_id % 5 WHEN 0 THEN trim('{STATIC}' || doc_id || ' ' || t) WHEN 1 THEN {parts_sql("Two", "Four")} WHEN 4 THEN '' ELSE {parts_sql(*PARTS)} END AS markdown FROM whole"""
 )
 def page_branches(spark, sf_dir):
     return report.report_rows(branch_pages(spark, sf_dir)).select("doc_id", "render_type", "mode", "markdown")
@@ -424,6 +436,48 @@ def one_page(spark, sf_dir):
     return sources.markdown_of(pages.drop("page_id"), first.url if first else "")
 
 
+@query(f"WITH {PAGE_NODES} SELECT url AS source, {MARKDOWN} AS page_content, 'SSR' AS render_type FROM nodes")
+def document_sink(spark, sf_dir):
+    """Documents of all pages, written by the sink and read back."""
+    docs = sources.documents(checked(prune(table(spark, sf_dir, "pages"))))
+    out = storage.fresh_dir(spark, "documents")
+    sink.save(docs, out)
+    found = sink.saved(spark, out, "page_content string, metadata map<string, string>")
+    return found.select(F.col("metadata")["source"].alias("source"), "page_content", F.col("metadata")["render_type"].alias("render_type"))
+
+
+HUMAN = f"""WITH {PAGE_NODES}, done AS (SELECT url, {MARKDOWN} AS markdown, {tokens_sql("html")} AS o, {strip_sql(unescape_sql("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))} AS title,
+  regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM nodes), sized AS (SELECT *, {tokens_sql("markdown")} AS r FROM done)"""
+
+
+@query(
+    f"""{HUMAN} SELECT url, concat_ws(chr(10), 'URL          : ' || url, 'Title        : ' || title, 'Render type  : SSR',
+  format('Tokens       : {{:,}} → {{:,}}  ({{}}% reduction)', o, r, (round(1000 * (1 - r / o)) / 10)::DECIMAL(9, 1)), 'BM25 score   : —', 'Cached       : No', 'Fetch        : 0ms  Parse: 0ms',
+  'lang         : ' || lang, repeat('─', 60), markdown) AS text FROM sized"""
+)
+def human_results(spark, sf_dir):
+    """Results as text for people; times, which differ from run to run, as 0."""
+    return sources.human_text(checked(prune(table(spark, sf_dir, "pages"))).withColumn("parse_ms", F.lit(0.0)))
+
+
+def stub_get(url: str, headers: dict[str, str], timeout: float) -> tuple[int, str, str]:
+    """A server that takes URLs by their length: serves, refuses the first agent, has none, refuses all."""
+    agent, kind = fetch.USER_AGENTS.index(headers["User-Agent"]), len(url) % 4
+    status = (200, 200 if agent else 403, 404, 429)[kind]
+    return status, f"<p>{url} for agent {agent}</p>" if status == 200 else "", url + "#final"
+
+
+@query(
+    """SELECT DISTINCT url AS request_url, CASE length(url) % 4 WHEN 2 THEN NULL WHEN 3 THEN url || '#browser' ELSE url || '#final' END AS url,
+  CASE length(url) % 4 WHEN 0 THEN '<p>' || url || ' for agent 0</p>' WHEN 1 THEN '<p>' || url || ' for agent 1</p>' WHEN 3 THEN 'by browser' END AS html,
+  CASE WHEN length(url) % 4 = 2 THEN 'HTTP status 404 for ' || url END AS fetch_error FROM pages"""
+)
+def fetch_tiers(spark, sf_dir):
+    """All URLs of the table, by host, from a stub in place of the network."""
+    found = fetch.fetch_table(table(spark, sf_dir, "pages"), get=stub_get, browser=lambda url: ("by browser", url + "#browser"), in_flight=4)
+    return found.select("request_url", "url", "html", "fetch_error")
+
+
 # -- sections and ranking -------------------------------------------------------------------------
 
 
@@ -465,6 +519,15 @@ def bm25_scores(spark, sf_dir):
     return rows.select("conv_id", F.posexplode(scores).alias("sec", "x")).select("conv_id", "sec", F.round("x", 6).alias("score"))
 
 
+@query(f"WITH {SECTIONS.replace(words_sql('role') + ' AS head', '[]::VARCHAR[] AS head')}, {BM} SELECT conv_id, sec, round(score, 6) AS score FROM scored")
+def bm25_wordless_headings(spark, sf_dir):
+    """Headings without a word score 0, and the bodies as ever."""
+    bare = F.transform("nodes", lambda n: n.withField("text", F.when(n["tag"] == "p", n["text"]).otherwise("— * —")))
+    rows = conversation_nodes(spark, sf_dir).select("conv_id", sections(bare).alias("s"))
+    scores = bm25.section_scores(F.col("s"), tokenize(F.lit(QUERY)))
+    return rows.select("conv_id", F.posexplode(scores).alias("sec", "x")).select("conv_id", "sec", F.round("x", 6).alias("score"))
+
+
 BUDGET = 60
 SELECTED = f"""ranked AS (SELECT *, row_number() OVER w AS rn, sum(token_count) OVER (w ROWS UNBOUNDED PRECEDING) AS run, max(score) OVER (PARTITION BY conv_id) AS top,
   count(*) OVER (PARTITION BY conv_id) AS n, sum(token_count) OVER (PARTITION BY conv_id) AS total FROM scored WINDOW w AS (PARTITION BY conv_id ORDER BY round(score, 9) DESC, sec)),
@@ -546,6 +609,31 @@ def sitemap_load(spark, sf_dir):
     return found.groupBy(F.col("metadata")["source"].alias("url"), "page_content").agg(F.count("*").alias("times"))
 
 
+@query(
+    """WITH roots AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey, visit) - 1 AS i FROM region, (VALUES (0), (1)) u(visit) WHERE visit = 0 OR r_regionkey % 2 = 0),
+inner_ AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS j FROM nation),
+leaves AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer)
+SELECT 'http://shop/' || c_custkey AS url, '0.' || i || '.' || j || '.' || k AS place FROM roots JOIN inner_ ON n_regionkey = r_regionkey JOIN leaves ON c_nationkey = n_nationkey"""
+)
+def sitemap_order(spark, sf_dir):
+    """Customers under an index of regions, of nations, and sets of each nation; every other region is
+    listed twice in a row.  Places are the way through the indexes."""
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+
+    def listed(rows: DataFrame, key: str, tag: str, by: Column, loc: Column, name: str) -> DataFrame:
+        one = F.struct(by.alias("k"), F.concat(F.lit(f"<{tag}><loc>"), loc, F.lit(f"</loc></{tag}>")).alias("x"))
+        root = "urlset" if tag == "url" else "sitemapindex"
+        xml = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["x"]), "")
+        return rows.groupBy(key).agg(xml.alias("x")).select(F.concat(F.lit(name), key).alias("url"), F.concat(F.lit(f"<{root}>"), "x", F.lit(f"</{root}>")).alias("xml"))
+
+    sets = listed(customers, "c_nationkey", "url", F.col("c_custkey"), F.concat(F.lit("http://shop/"), "c_custkey"), "nation")
+    inner = listed(nations, "n_regionkey", "sitemap", F.col("n_nationkey"), F.concat(F.lit("nation"), "n_nationkey"), "region")
+    twice = table(spark, sf_dir, "region").select("r_regionkey", F.lit("root").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), 1 - F.col("r_regionkey") % 2)).alias("visit"))
+    root = listed(twice.withColumn("none", F.lit("")), "none", "sitemap", F.struct("r_regionkey", "visit"), F.concat(F.lit("region"), "r_regionkey"), "root")
+    found = sitemap.expand(sets.unionByName(inner).unionByName(root), "root")
+    return found.select("url", F.array_join(F.col("ord").cast("array<string>"), ".").alias("place"))
+
+
 # -- requests -------------------------------------------------------------------------------------
 
 
