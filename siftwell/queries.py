@@ -14,6 +14,7 @@ from siftwell.operators import bm25, classify, extract, report, requests, ssg
 from siftwell.operators.meta import meta
 from siftwell.operators.sections import sections
 from siftwell.operators.serialize import serialize
+from siftwell.plans.cache import ResultCache
 from siftwell.plans.prune import checked, parsed, prune, prune_requests
 from siftwell.sources import fetch, sink, sitemap, storage
 from siftwell.sources import pages as sources
@@ -634,6 +635,22 @@ def sitemap_order(spark, sf_dir):
     return found.select("url", F.array_join(F.col("ord").cast("array<string>"), ".").alias("place"))
 
 
+@query(
+    f"""WITH {PAGE_NODES}, asked AS (SELECT page_id, url, {MARKDOWN} AS markdown, b.batch, b.t FROM nodes, (VALUES (1, 0), (2, 100), (3, 350)) b(batch, t) WHERE b.batch > 1 OR page_id % 2 = 0),
+runs AS (SELECT *, CASE batch WHEN 1 THEN false WHEN 2 THEN page_id % 2 = 0 ELSE page_id % 2 = 1 END AS hit FROM asked)
+SELECT batch, url, markdown, hit AS cached FROM runs"""
+)
+def cache_answers(spark, sf_dir):
+    """Half of the pages asked for at 0 s, all of them at 100 s and at 350 s; entries live 300 s."""
+    pages = table(spark, sf_dir, "pages")
+    cache = ResultCache(spark, storage.fresh_dir(spark, "cache"), ttl=300.0, max_size=1 << 40)
+    found = []
+    for batch, (now, some) in enumerate([(0.0, pages.where("page_id % 2 = 0")), (100.0, pages), (350.0, pages)], 1):
+        answers = cache.answer(pages, some.select("url", F.lit("").alias("query")), now).select(F.lit(batch).alias("batch"), "url", "markdown", "cached")
+        found.append(storage.written(answers, "answers"))
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 # -- requests -------------------------------------------------------------------------------------
 
 
