@@ -173,6 +173,14 @@ def search(homes: np.ndarray, guests: np.ndarray, half: np.uint64, radius: int)
 
 # -- distributed search ---------------------------------------------------------------------------
 
+def hash_share(fps: DataFrame, total: int, bound: int) -> DataFrame:
+    """(fp, h) of the share of the hashes that holds about 1.25 * ``bound`` of ``total`` different
+    fingerprints, or all: what every partition together sends for a sample of ``bound``."""
+    h = F.xxhash64("fp")
+    share = min(1 << 24, -(-((bound * 5) << 24) // (4 * max(total, 1))))
+    return fps.select("fp", h.alias("h")).where(F.shiftrightunsigned(h, 40) < share)
+
+
 ROUTED = "forest int, shard long, home_block int, guest_block int, guest boolean, fp long"
 
 
@@ -190,7 +198,7 @@ def fingerprint_links(
     total = fps.count()
     leaves = max(1, -(-total // shard_rows))
     bound = min(sample_rows, 2048 * leaves)
-    sample = [r.fp for r in fps.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(bound).collect()]
+    sample = [r.fp for r in hash_share(fps, total, bound).orderBy("h", "fp").limit(bound).collect()]
     sample_fps = np.array(sample, np.int64).view(np.uint64)
     tops = spark.sparkContext.broadcast([build_top(sample_fps, m, radius // 2, leaves) if total else [0] for m in HALVES])
     t = radius // 2
@@ -241,26 +249,17 @@ def fingerprint_links(
     return routed(blocks).groupBy("forest", "shard", "home_block", "guest_block").applyInArrow(links, "a long, b long")
 
 
-#: Links up to which one task on an executor finds their components (16 bytes each).
-LOCAL_LINKS = 1 << 17
-
-
-def connected(links: DataFrame, rounds: int = 60, cut=cut, local_links: int = LOCAL_LINKS) -> DataFrame:
+def connected(links: DataFrame, rounds: int = 60, cut=cut) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b) but the roots themselves, a root being its
     component's smallest node.
 
-    Alternates large-star and small-star until the links no longer change, or are so few that one
-    task can end it."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = ((x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in merged(parts)], names=["node", "root"])
-
+    Alternates large-star and small-star on Spark tables until the links no longer change."""
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    known = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+    state = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+    known = state(links)
     for _ in range(rounds):
-        if known.n <= local_links:
-            return links.coalesce(1).mapInArrow(local, "node long, root long")
+        if not known.n:
+            break
         both = links.union(links.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
@@ -268,11 +267,13 @@ def connected(links: DataFrame, rounds: int = 60, cut=cut, local_links: int = LO
         near = large.join(low, "a")
         small = near.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
         links = cut(small.where("a <> b").distinct())
-        state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if state == known:
-            return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        known = state
-    raise RuntimeError("components did not settle")
+        now = state(links)
+        if now == known:
+            break
+        known = now
+    else:
+        raise RuntimeError("components did not settle")
+    return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
 def _classes(marks: DataFrame, radius: int, shard_rows: int, block_rows: int) -> DataFrame:

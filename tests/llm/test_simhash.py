@@ -108,13 +108,31 @@ def test_links_equal_brute_force_in_tiny_shards_and_blocks(spark):
     fps = spark.createDataFrame([(v,) for v in signed], "fp long").cache()
     for kw in ({}, {"shard_rows": 16, "block_rows": 64}, {"shard_rows": 50, "block_rows": 20}):
         links = simhash.fingerprint_links(fps, **kw)
-        found, spread = ({r.node: r.root for r in simhash.connected(links, local_links=n).collect()} for n in (1 << 17, 0))
-        assert found == spread
+        found = {r.node: r.root for r in simhash.connected(links).collect()}
         order = sorted(range(len(signed)), key=lambda i: signed[i])
         want = brute_components([values[i] for i in order])
         assert [found.get(signed[i], signed[i]) for i in order] == [signed[order[k]] for k in want]
 
 
+def test_a_sample_is_small_in_all_partitions_together(spark):
+    fps = spark.range(400_000).repartition(16).select((F.col("id") * 7919).alias("fp"))
+    for total, bound, low, high in ((400_000, 1000, 1000, 1500), (400_000, 1 << 17, 1 << 17, 180_000)):
+        assert low <= simhash.hash_share(fps, total, bound).count() <= high
+    assert simhash.hash_share(fps.limit(50), 50, 1000).count() == 50 and simhash.hash_share(fps.limit(0), 0, 1000).count() == 0
+
+
+def test_components_of_long_chains_and_stars(spark):
+    rng = np.random.default_rng(8)
+    names = rng.permutation(3000) - 1500
+    pairs = [(int(names[i]), int(names[i + 1])) for i in range(900)]  # a chain in random order
+    pairs += [(int(names[1000]), int(names[k])) for k in range(1001, 2000)]  # a star
+    pairs += [(int(a), int(b)) for a, b in rng.choice(names[2000:], (800, 2))]
+    found = {r.node: r.root for r in simhash.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    node, root = shingles_of.forest(*(np.array([p[i] for p in pairs], np.int64) for i in (0, 1)))
+    assert found == dict(zip(node.tolist(), root.tolist()))
+    assert simhash.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_search_within_a_shard_equals_brute_force():
     values = np.array(fingerprint_set(), np.uint64)
     found = list(simhash.search(values, values[:0], simhash.HALVES[0], 3)) + list(simhash.search(values, values[:0], simhash.HALVES[1], 3))
