@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,7 +40,7 @@ STEP = 1 << 18
 MAX_RECORD = 1 << 32
 
 READ = (
-    "file string, at long, size long, reason string, record_type string, record_id string, target_uri string, "
+    "file string, at long, size long, inside long, inside_size long, reason string, record_type string, record_id string, target_uri string, "
     "refers_to string, payload_digest string, payload_bytes long, payload binary"
 )
 
@@ -92,9 +93,14 @@ class Record:
 
 @dataclass
 class Gap:
+    """Bytes ``at`` a place of the file that hold no record; or, with ``inside``, a place in what the
+    member there inflates to, ``inside_size`` bytes long (0 where the rest is unknown)."""
+
     at: int
     size: int
     reason: str
+    inside: int | None = None
+    inside_size: int | None = None
 
 
 @dataclass
@@ -164,25 +170,74 @@ def verify(headers: dict[str, str], block: bytes) -> tuple[bytes | None, int]:
     return payload, len(payload)
 
 
-def inflate(window: Window, at: int, most: int = MAX_RECORD) -> tuple[bytes, int]:
-    """(data, end) of the gzip member at ``at``, its CRC and length checked; at most about ``most``
-    bytes are inflated."""
-    coder, out, total, pos = zlib.decompressobj(31), [], 0, at
-    while not coder.eof:
-        if pos >= window.length:
-            raise Damaged("the member is cut off")
-        piece = window.get(pos, min(STEP, window.length - pos))
-        try:
-            out.append(coder.decompress(piece, most))
-        except zlib.error as error:
-            raise Damaged(f"the member is broken: {error}") from None
-        total += len(out[-1])
-        if total >= most:
-            if most < MAX_RECORD:
+class Inflated:
+    """What a gzip member inflates to, read forwards: ``drop`` forgets bytes.  At the end ``end`` is
+    where the member ends in the file, or ``error`` what broke it; whatever inflates before is there."""
+
+    def __init__(self, window: Window, at: int):
+        self.window, self.at, self.pos = window, at, at
+        self.coder, self.tail, self.data, self.base = zlib.decompressobj(31), b"", bytearray(), 0
+        self.end: int | None = None
+        self.error: str | None = None
+
+    @property
+    def total(self) -> int:
+        return self.base + len(self.data)
+
+    @property
+    def done(self) -> bool:
+        return self.end is not None or self.error is not None
+
+    def fill(self, upto: int) -> None:
+        while self.total < upto and not self.done:
+            piece = self.tail or self.window.get(self.pos, max(0, min(STEP, self.window.length - self.pos)))
+            if not piece:
+                self.error = "the member is cut off"
+                return
+            self.pos += 0 if self.tail else len(piece)
+            try:
+                self.data += self.coder.decompress(piece, 4 * STEP)
+            except zlib.error as error:
+                self.error = f"the member is broken: {error}"
+                self.rescue()
+                return
+            self.tail = self.coder.unconsumed_tail
+            if self.coder.eof:
+                self.end = self.pos - len(self.coder.unused_data)
+
+    def rescue(self) -> None:
+        """Inflates up to the very byte that breaks the stream, as the piece with it gave nothing."""
+        coder, at, seen = zlib.decompressobj(31), self.at, 0
+        while True:
+            before = coder.copy()
+            piece = self.window.get(at, max(0, min(4096, self.window.length - at)))
+            try:
+                out = coder.decompress(piece)
+            except zlib.error:
                 break
-            raise Damaged("the member is too large")
-        pos += len(piece)
-    return b"".join(out), pos - len(coder.unused_data)
+            self.data += out[max(0, self.total - seen) :]
+            seen, at = seen + len(out), at + len(piece)
+        for byte in piece:
+            try:
+                out = before.decompress(bytes([byte]))
+            except zlib.error:
+                return
+            self.data += out[max(0, self.total - seen) :]
+            seen += len(out)
+
+    def get(self, at: int, n: int) -> bytes:
+        self.fill(at + n)
+        return bytes(self.data[at - self.base : at - self.base + n])
+
+    def drop(self, at: int) -> None:
+        del self.data[: at - self.base]
+        self.base = at
+
+    def finish(self) -> None:
+        """Inflates the rest and forgets it."""
+        while not self.done:
+            self.fill(self.total + STEP)
+            self.drop(self.total)
 
 
 def next_start(window: Window, at: int) -> int:
@@ -191,58 +246,98 @@ def next_start(window: Window, at: int) -> int:
         piece = window.get(at, min(STEP, window.length - at))
         for found in MARKERS.finditer(piece):
             place = at + found.start()
-            if found[0] != MEMBER:
+            if found[0] != MEMBER or Inflated(Window(window.stream, window.length), place).get(0, 7) == b"WARC/1.":
                 return place
-            try:
-                if inflate(Window(window.stream, window.length), place, 64)[0].startswith(b"WARC/1."):
-                    return place
-            except Damaged:
-                continue
         if len(piece) == window.length - at:
             break
         at += len(piece) - 10  # a marker may lie across the edge
     return window.length
 
 
-def records_at(window: Window, at: int) -> tuple[list[Record], int]:
-    """All records of the member or plain record at ``at``, and its end."""
-    if window.get(at, 3) == MEMBER:
-        data, end = inflate(window, at)
-        found, pos = [], 0
-        while pos < len(data):
-            headers, block, pos = parse_record(lambda a, n: data[a : a + n], pos)
-            payload, size = verify(headers, block)
-            found.append(Record(at, end - at, headers, payload, size))
-        if not found:
-            raise Damaged("an empty member")
-        return found, end
-    headers, block, end = parse_record(lambda a, n: window.get(a, min(n, max(0, window.length - a))), at)
-    payload, size = verify(headers, block)
-    return [Record(at, end - at, headers, payload, size)], end
+def next_version(member: Inflated, at: int) -> int:
+    """The next version line inside a member, or its end; what is before is forgotten."""
+    while piece := member.get(at, STEP):
+        if found := re.search(rb"WARC/1\.[01]\r\n", piece):
+            return at + found.start()
+        if len(piece) < STEP:
+            return at + len(piece)
+        at += len(piece) - 9
+        member.drop(at)
+    return at
+
+
+def member_items(member: Inflated, size: int, broken: str | None) -> Iterator[Record | Gap]:
+    """The sound records of a member of ``size`` bytes, and gaps between them; ``broken`` is what is
+    wrong with the member itself."""
+    pos, bad = 0, None
+    while member.get(pos, 1):
+        try:
+            headers, block, end = parse_record(member.get, pos)
+            payload, n = verify(headers, block)
+            if broken and not headers.get("warc-block-digest"):
+                raise Damaged(f"no block digest, and {broken}")
+        except Damaged as error:
+            bad = bad or (pos, str(error))
+            pos = next_version(member, pos + 1)
+            member.drop(min(pos, member.total))
+            continue
+        if bad:
+            yield Gap(member.at, size, bad[1], bad[0], pos - bad[0])
+            bad = None
+        yield Record(member.at, size, headers, payload, n)
+        pos = end
+        member.drop(pos)
+    if bad or broken:
+        place, reason = bad or (member.total, None)
+        yield Gap(member.at, size, broken or reason, place, member.total - place)
+
+
+def items_at(window: Window, at: int) -> tuple[Iterator[Record | Gap], int]:
+    """The records, and gaps inside, of the member or plain record at ``at``, and its end.  If no
+    record there is sound, ``Damaged``."""
+    if window.get(at, 3) != MEMBER:
+        headers, block, end = parse_record(lambda a, n: window.get(a, min(n, max(0, window.length - a))), at)
+        payload, size = verify(headers, block)
+        return iter([Record(at, end - at, headers, payload, size)]), end
+    member = Inflated(window, at)
+    try:
+        headers, block, pos = parse_record(member.get, 0)
+        payload, n = verify(headers, block)
+        member.fill(pos + 1)
+        if member.end is not None and member.total == pos:  # one record, as archives should have it
+            return iter([Record(at, member.end - at, headers, payload, n)]), member.end
+    except Damaged:
+        pass
+    member.finish()
+    if not member.total:
+        raise Damaged(member.error or "an empty member")
+    end = member.end if member.end is not None else next_start(window, at + 1)
+    ahead, items = [], member_items(Inflated(Window(window.stream, window.length), at), end - at, member.error)
+    for x in items:  # one gap at most comes before a record
+        ahead.append(x)
+        if isinstance(x, Record):
+            return chain(ahead, items), end
+    raise Damaged(ahead[0].reason)
 
 
 def salvage(stream, length: int) -> Iterator[Record | Gap]:
     """Every sound record of an archive, and a Gap for every run of bytes between that is not one."""
-    window, at = Window(stream, length), 0
+    window, at, gap = Window(stream, length), 0, None
     while at < length:
         try:
-            found, end = records_at(window, at)
+            items, end = items_at(window, at)
         except Damaged as error:
-            end = next_start(window, at + 1)
-            gap = Gap(at, end - at, str(error))
-            at = end
-            while at < length:  # neighbouring gaps are one
-                try:
-                    found, end = records_at(window, at)
-                    break
-                except Damaged:
-                    at = next_start(window, at + 1)
-                    gap.size = at - gap.at
+            gap = gap or Gap(at, 0, str(error))
+            at = next_start(window, at + 1)  # neighbouring gaps are one
+            gap.size = at - gap.at
+            continue
+        if gap:
             yield gap
-            if at >= length:
-                return
-        yield from found
+            gap = None
+        yield from items
         at = end
+    if gap:
+        yield gap
 
 
 # -- Spark ----------------------------------------------------------------------------------------
@@ -305,7 +400,7 @@ def write_archives(pages: DataFrame, folder: str, *, level: int = 3, file_bytes:
 
 def read_archives(spark, paths: list[str], *, with_payload: bool = True) -> DataFrame:
     """Records and gaps of archives, one row each: file, at, size (bytes there), and for a gap its
-    ``reason``; for a record record_type, record_id, target_uri, refers_to, payload_digest (bare
+    ``reason``, with inside and inside_size where it lies inside a member; for a record record_type, record_id, target_uri, refers_to, payload_digest (bare
     hex), payload_bytes (of the full payload, also for a revisit) and, if asked for, payload.
 
     Records of other types have their block as payload.  No paths give an empty table."""
@@ -335,11 +430,11 @@ def _bare(value: str | None, prefix: str = "") -> str | None:
 
 def _row(path: str, x: Record | Gap, with_payload: bool) -> tuple:
     if isinstance(x, Gap):
-        return (path, x.at, x.size, x.reason, *[None] * 7)
+        return (path, x.at, x.size, x.inside, x.inside_size, x.reason, *[None] * 7)
     h = x.headers
     digest = (h.get("warc-payload-digest") or "").lower().removeprefix("sha256:") or None
     names = (h.get("warc-type"), _bare(h.get("warc-record-id")), h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), digest)
-    return (path, x.at, x.size, None, *names, x.payload_bytes, x.payload if with_payload else None)
+    return (path, x.at, x.size, None, None, None, *names, x.payload_bytes, x.payload if with_payload else None)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ def ids(data):
     found = list(warc.salvage(io.BytesIO(data), len(data)))
     names = [x.headers["warc-record-id"].strip("<>").removeprefix(warc.URN) for x in found if isinstance(x, warc.Record)]
     numbers = [int(n) if n.isdigit() else None for n in names]
-    covered = sorted({(x.at, x.size) for x in found})
+    covered = sorted({(x.at, x.size) for x in found})  # gaps inside have the member's
     at = 0
     for start, size in covered:  # records and gaps tile the file
         assert start == at
@@ -70,6 +70,71 @@ def test_mixed_members_and_large_gaps_across_windows():
     assert gaps[0].at == len(a) and gaps[0].size == 3 * warc.STEP + 17 and len(gaps) == 2
 
 
+def one_member(n, damaged=(), digest=True, size=300):
+    """n records in one gzip member, some with a changed byte in their payload; and their places."""
+    out, starts = b"", []
+    for i in range(n):
+        payload = random.Random(i).randbytes(size)
+        data = warc.record_bytes(f"{warc.URN}{i}", None, payload, hashlib.sha256(payload).hexdigest(), None)
+        data = data if digest else data.replace(b"WARC-Block-Digest", b"WARC-Other")
+        starts.append(len(out))
+        out += data[:-9] + bytes([data[-9] ^ 1]) + data[-8:] if i in damaged else data
+    return out, starts + [len(out)]
+
+
+def test_damage_inside_a_member_costs_its_records_alone():
+    data, starts = one_member(10, damaged=(7,))
+    sound, _ = archive(2)
+    numbers, gaps = ids(sound + warc.member(data, 3) + sound)
+    assert numbers == [0, 1, 0, 1, 2, 3, 4, 5, 6, 8, 9, 0, 1]
+    assert [(g.at, g.inside, g.inside_size) for g in gaps] == [(len(sound), starts[7], starts[8] - starts[7])]
+    numbers, gaps = ids(warc.member(one_member(10, damaged=(0, 1, 9))[0], 3))
+    assert numbers == list(range(2, 9)) and [(g.inside, g.inside_size) for g in gaps] == [(0, starts[2]), (starts[9], starts[10] - starts[9])]
+    assert ids(warc.member(one_member(3, damaged=(0, 1, 2))[0], 3))[0] == []
+    plain, _ = one_member(10, damaged=(7,))
+    assert ids(plain)[0] == [0, 1, 2, 3, 4, 5, 6, 8, 9]
+
+
+def test_cut_and_broken_members_keep_what_inflates():
+    data, starts = one_member(40)
+    packed, (sound, _) = warc.member(data, 6), archive(2)
+    for share in (0.2, 0.5, 0.9, 0.999):
+        numbers, gaps = ids(packed[: int(len(packed) * share)])
+        assert numbers == list(range(len(numbers))) and 40 * share - 3 <= len(numbers) < 40 + (share > 0.99) and gaps[-1].reason == "the member is cut off"
+        assert gaps[-1].inside in starts
+        assert ids(packed[: int(len(packed) * share)] + sound)[0][-2:] == [0, 1]
+    # a wrong checksum alone: all records have digests that hold, and the break is logged
+    numbers, gaps = ids(packed[:-8] + bytes(4) + packed[-4:] + sound)
+    assert numbers == [*range(40), 0, 1] and [(g.inside, g.inside_size) for g in gaps] == [(len(data), 0)]
+    # without digests of their own they do not count
+    bare = warc.member(one_member(5, digest=False)[0], 6)
+    assert ids(bare)[0] == list(range(5)) and ids(bare[:-8] + bytes(4) + bare[-4:])[0] == []
+    rng = random.Random(2)
+    for _ in range(60):
+        at = rng.randrange(20, len(packed))
+        numbers, gaps = ids(packed[:at] + bytes([packed[at] ^ 1 << rng.randrange(8)]) + packed[at + 1 :] + sound)
+        # random payloads are stored as they are: about one record a flip, unless it hits the stream itself
+        assert numbers[-2:] == [0, 1] and gaps and len(numbers) >= 40 * at / len(packed) - 2
+
+
+def test_large_members_are_read_through_a_window():
+    data, _ = one_member(60, damaged=(30,), size=100_000)
+    packed = warc.member(data, 1)
+    held, real = [], warc.Inflated.fill
+
+    def fill(self, upto):
+        real(self, upto)
+        held.append(len(self.data))
+
+    warc.Inflated.fill = fill
+    try:
+        numbers, gaps = ids(packed)
+    finally:
+        warc.Inflated.fill = real
+    assert numbers == [i for i in range(60) if i != 30] and len(gaps) == 1
+    assert max(held) < 2_000_000 < len(data)
+
+
 def test_write_and_read_back(spark):
     long = "x" * 100
     rows = [(5, "http://a", long, 1), (3, None, long, 1), (3, "http://b", long, 1), (None, "http://c", long, 1), (7, "u", "short", 1), (8, "u", "short", 1), (9, "u", None, 1), (10, "u", "é" * 50, 1)]
