@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.plans.prune import checked, page_columns, prune
+from siftwell.sources.fetch import Policy, fetch_table
+from siftwell.sources.storage import written
 
 DOCUMENT_KEYS = ("source", "render_type", "original_tokens", "refined_tokens", "reduction_ratio", "bm25_confidence", "cached")
 
@@ -44,6 +46,16 @@ def load_batch(pages: DataFrame, urls: DataFrame, query: str = "", *, ignore_err
     return documents(checked(prune(asked_for(urls.select("url"), pages, ignore_errors), query), ignore_errors))
 
 
+def load_urls(urls: DataFrame, query: str = "", *, policy: Policy | None = None, ignore_errors: bool = True) -> DataFrame:
+    """Documents of listed URLs from the network: each different URL is fetched once, politely by host,
+    and comes as often as it is listed, under the URL that answered in the end.  Failures are left
+    out, or raised if errors are not ignored."""
+    got = written(fetch_table(urls, policy=policy), "fetched")
+    listed = urls.select(F.col("url").alias("request_url")).join(got, "request_url")
+    pages = listed.select(F.coalesce("url", "request_url").alias("url"), "html", "fetch_error", "fetch_ms")
+    return documents(checked(prune(pages, query), ignore_errors))
+
+
 def retrieve(pages: DataFrame, urls: DataFrame, query: str, *, query_as_bm25: bool = True, ignore_errors: bool = True) -> DataFrame:
     """Documents of listed URLs (ord, url) with ``ord``, to be read in its order.  The query selects
     sections only if ``query_as_bm25``; all pages come back, there is no ranking across pages."""

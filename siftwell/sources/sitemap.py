@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import strip
-from siftwell.sources.pages import load_batch, matches_prefix
+from siftwell.sources.fetch import Policy, fetch_table
+from siftwell.sources.pages import load_batch, load_urls, matches_prefix
 from siftwell.sources.storage import written
 
 
@@ -67,7 +68,34 @@ def expand(sitemaps: DataFrame, root: str, max_depth: int | None = None) -> Data
     return pages.select(F.array_append("ord", F.col("place")).alias("ord"), F.col("child").alias("url"))
 
 
+def wanted(urls: DataFrame, prefixes: Sequence[str] | None) -> DataFrame:
+    return urls.where((F.col("url") != "") & matches_prefix(F.col("url"), prefixes))
+
+
+def fetch_sitemaps(spark: SparkSession, root: str, policy: Policy | None = None) -> DataFrame:
+    """(url, xml) of the sitemap at ``root`` and of all below it, each asked for once however many
+    indexes list it; one that cannot be had is left out.  A level of indexes is one fetch and one
+    anti-join with all that was asked for, and nothing of it comes to the driver."""
+    asked = [spark.createDataFrame([(root,)], "url string")]
+    found = []
+    while True:
+        got = fetch_table(asked[-1], policy=policy).where("fetch_error IS NULL")
+        found.append(written(got.select(F.col("request_url").alias("url"), F.col("html").alias("xml")), "sitemaps"))
+        below = parse(found[-1]).where("is_index").select(F.explode("urls").alias("url")).distinct()
+        level = written(below.join(reduce(DataFrame.unionAll, asked), "url", "left_anti"), "sitemap-urls")
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        asked.append(level)
+
+
+def load_site(spark: SparkSession, root: str, query: str = "", *, prefixes: Sequence[str] | None = None, policy: Policy | None = None, ignore_errors: bool = True) -> DataFrame:
+    """Documents of the pages of a whole site, from the network: its sitemaps, then the pages under
+    them whose URLs start with one of ``prefixes``."""
+    urls = wanted(expand(fetch_sitemaps(spark, root, policy), root), prefixes)
+    return load_urls(written(urls.select("url"), "site-urls"), query, policy=policy, ignore_errors=ignore_errors)
+
+
 def load_sitemap(pages: DataFrame, sitemaps: DataFrame, root: str, query: str = "", *, prefixes: Sequence[str] | None = None, ignore_errors: bool = True) -> DataFrame:
     """Documents of the pages under a sitemap whose URLs start with one of ``prefixes``."""
-    urls = expand(sitemaps, root).where((F.col("url") != "") & matches_prefix(F.col("url"), prefixes))
+    urls = wanted(expand(sitemaps, root), prefixes)
     return load_batch(pages, urls, query, ignore_errors=ignore_errors)

@@ -172,6 +172,41 @@ def test_a_stream_of_urls_goes_on_where_it_stopped(spark, server, tmp_path):
     assert len(log) == 8
 
 
+def site_get(pages, log):
+    def get(url, headers, timeout):
+        with open(log, "a") as out:
+            out.write(url + "\n")
+        if url not in pages:
+            return 404, "", url
+        return 200, pages[url], url + "/" if "/p" in url else url
+
+    return get
+
+
+def test_a_site_is_loaded_from_its_sitemaps(spark, tmp_path):
+    pages = {f"http://s/p{k}": BODY.replace("Paragraph", f"Paragraph of p{k}") for k in range(4)} | {
+        "http://s/root": index("http://s/a", "http://s/gone", "http://s/b", "http://s/a"), "http://s/b": index("http://s/a", "http://s/c"),
+        "http://s/a": urlset("http://s/p0", "http://s/p1"), "http://s/c": urlset("http://s/p2", "http://s/p3", "http://s/p9", "http://other/p1"),
+    }
+    log = tmp_path / "log"
+    policy = fetch.Policy(get=site_get(pages, str(log)), browser=no_browser)
+    found = sitemap.load_site(spark, "http://s/root", prefixes=["http://s/"], policy=policy).collect()
+    assert sorted(r.metadata["source"] for r in found) == sorted([f"http://s/p{k}/" for k in (0, 1) for _ in range(3)] + ["http://s/p2/", "http://s/p3/"])
+    assert all(f"of {r.metadata['source'][9:11]}" in r.page_content for r in found)
+    asked = log.read_text().split()
+    assert len(asked) == len(set(asked)) and "http://other/p1" not in asked and "http://s/gone" in asked
+    with pytest.raises(Exception, match="HTTP status 404 for http://s/p9"):
+        sitemap.load_site(spark, "http://s/root", prefixes=["http://s/"], policy=policy, ignore_errors=False).collect()
+    assert sitemap.load_site(spark, "http://s/none", policy=policy).count() == 0
+
+
+def test_listed_urls_are_loaded_from_the_network(spark, tmp_path):
+    policy = fetch.Policy(get=site_get({"http://s/p1": BODY}, str(tmp_path / "log")), browser=no_browser)
+    urls = spark.createDataFrame([("http://s/p1", "clash"), ("http://s/p1", "clash"), ("http://s/p2", "clash")], "url string, html string")
+    assert [r.metadata["source"] for r in pages.load_urls(urls, policy=policy).collect()] == ["http://s/p1/"] * 2
+    assert (tmp_path / "log").read_text().count("p1") == 1
+
+
 # -- sink -----------------------------------------------------------------------------------------
 
 
