@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.requests import TTL
+from siftwell.plans.cache import ResultCache
 from siftwell.plans.prune import checked, prune
 
 
@@ -29,6 +31,12 @@ def request_windows(requests: DataFrame, at: str = "ts", lateness: str = "10 min
     return counted.select(F.col("w.start").alias("start"), "key", "requests", F.lit(1).alias("fetches"))
 
 
+def answer_stream(requests: DataFrame, pages: DataFrame, cache: ResultCache, write: Callable[[DataFrame, int], None], clock: Callable[[], float] = time.time):
+    """A writer, not started yet, of a stream of (url, query): each batch is answered from the cache
+    and what it lacks computed once and stored; ``write`` takes the answers and the batch's number."""
+    return requests.writeStream.foreachBatch(lambda batch, number: write(cache.answer(pages, batch, clock()), number))
+
+
 def cached_stream(requests: DataFrame, key: str = "key", ttl: float = TTL) -> DataFrame:
     """(key, t, hit) for a stream of (key, t in seconds): keyed state with time to live.
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.plans.cache import KEY, ResultCache, most_recent
-from siftwell.plans.prune import checked, prune, prune_requests
+from siftwell.plans.prune import prune_requests
+from siftwell.sources import sink
+from siftwell.streaming.pages import answer_stream
 
 BODY = "<body>" + "".join(f"<p>Paragraph number {k} of page {{0}} with words enough to count</p>" for k in range(6)) + "</body>"
 ASKED = "url string, query string, count int"
@@ -82,3 +84,19 @@ def test_eviction_is_exact_without_ranking_all(spark, most):
     assert len(left) == min(most, 3000)
     order = sorted((-r.used_at, r.part, r.h) for r in rows.select("used_at", F.xxhash64(*KEY).alias("h"), F.pmod(F.xxhash64(*KEY), F.lit(1024)).alias("part")).collect())
     assert sum(r.used_at == 2.0 for r in left) == sum(o[0] == -2.0 for o in order[:most])
+
+
+def test_a_stream_of_requests_is_answered_from_the_cache(spark, tmp_path):
+    pages, cache = table(spark), ResultCache(spark, f"{tmp_path}/c", ttl=300.0)
+
+    def run(asked, now):
+        spark.createDataFrame(asked, "url string, query string").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("url string, query string").parquet(f"{tmp_path}/in")
+        write = lambda df, number: sink.save(df.select("url", "query", "cached", F.lit(now).alias("at")), f"{tmp_path}/out")
+        query = answer_stream(stream, pages, cache, write, lambda: now).option("checkpointLocation", f"{tmp_path}/p").trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+
+    run([("u1", "paragraph")], 0.0)
+    run([("u1", "paragraph"), ("u2", None)], 100.0)
+    got = sink.saved(spark, f"{tmp_path}/out", "url string, query string, cached boolean, at double").collect()
+    assert sorted((r.at, r.url, r.query, r.cached) for r in got) == [(0.0, "u1", "paragraph", False), (100.0, "u1", "paragraph", True), (100.0, "u2", "", False)]
