@@ -27,11 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.arrowtext import bounded, slices
-from siftwell.llm.storage import filesystem, fresh_dir
+from siftwell.llm.storage import filesystem, fresh_dir, written
 from siftwell.llm.tokenids import default_path, encoder
 
 MAGIC = b"SWRANS01"
@@ -42,6 +42,8 @@ END_ID = 1
 LANES = 8192
 BLOCK_TOKENS = 2 << 20
 FILE_TOKENS = 4 << 20
+#: Characters of a text that tell ranges of one doc_id apart; blocks that a reading task should have.
+RANGE_CHARS, TASK_BLOCKS = 64, 16
 MANIFEST = "path string, part long, number long, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -243,13 +245,14 @@ class TokenFile:
 # -- Spark ----------------------------------------------------------------------------------------
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> list[tuple[str, int, int]]:
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order (null first, ties by text) as files
-    in ``folder``; returns (path, ids before it, blocks) of each file, in order.
+    in ``folder``; returns the table (path, before, blocks) of files, ids before each, and its blocks.
 
     Each document gets its ids without special tokens and then ``end_id``; null text is empty.
     Repeated rows are written as often as they come; other columns are not read; an empty table
-    writes no file.  Only one row for each file comes to the driver."""
+    writes no file.  Rows of one doc_id may be parted by the beginnings of their texts.  Nothing of
+    the files comes to the driver: their table is kept on shared storage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of = encoder(vocabulary)
@@ -279,13 +282,15 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = EN
         if pieces:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = sorted(bounded(ordered).mapInArrow(run, MANIFEST).collect(), key=lambda r: (r.part, r.number))
-    found, before = [], 0
-    for r in manifest:
-        found.append((r.path, before, -(-r.tokens // block_tokens)))
-        before += r.tokens
-    return found
+    start = F.substring("text", 1, RANGE_CHARS)
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", start).sortWithinPartitions("doc_id", "text")
+    manifest = written(bounded(ordered).mapInArrow(run, MANIFEST), "token-files")
+    # ids before a part: one row for each task that wrote; before a file: within its part
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("n"))
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", earlier(Window.orderBy("part"), "n").alias("base"))
+    files = manifest.join(parts, "part").withColumn("before", F.col("base") + earlier(Window.partitionBy("part").orderBy("number"), "tokens"))
+    return files.select("path", "before", F.ceil(F.col("tokens") / block_tokens).cast("int").alias("blocks"))
 
 
 def _write(path: str, data: bytes) -> None:
@@ -299,30 +304,39 @@ def _write(path: str, data: bytes) -> None:
     files.move(temporary, place)
 
 
-def read_ids(spark, files: list[tuple[str, int, int]]) -> DataFrame:
+def read_ids(spark, files: DataFrame) -> DataFrame:
     """Documents of token files: doc_id, start (ids of all documents before it), n_tokens, ids
-    (little-endian unsigned 32-bit).  Blocks are dealt to tasks, which find them by the checkpoints;
-    each gives the documents that start in its block."""
+    (little-endian unsigned 32-bit).  ``files`` is a table as from ``write_ids``.  Blocks are dealt to
+    tasks, some neighbouring ones to each, which find them by the checkpoints; a block gives the
+    documents that start in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, stream, file = None, None, None
         for batch in batches:
             for path, before, block in zip(*(batch.column(c).to_pylist() for c in ("path", "before", "block"))):
-                system, place = filesystem(path)
-                with system.open_input_file(place) as stream:
-                    rows: list[tuple[int | None, int, bytes]] = []
-                    size = 0
-                    for doc_id, start, ids in TokenFile(stream).documents(block):
-                        rows.append((doc_id, before + start, ids))
-                        size += len(ids)
-                        if size >= 4 << 20:
-                            yield _rows(rows)
-                            rows, size = [], 0
-                    if rows:
+                if path != opened:
+                    if stream:
+                        stream.close()
+                    system, place = filesystem(path)
+                    stream = system.open_input_file(place)
+                    opened, file = path, TokenFile(stream)
+                rows: list[tuple[int | None, int, bytes]] = []
+                size = 0
+                for doc_id, start, ids in file.documents(block):
+                    rows.append((doc_id, before + start, ids))
+                    size += len(ids)
+                    if size >= 4 << 20:
                         yield _rows(rows)
-
-    dealt = [(p, b, k) for p, b, n in files for k in range(n)]
-    table = spark.createDataFrame(dealt, "path string, before long, block int")
-    return table.repartition(max(1, len(dealt))).mapInArrow(run, ROWS)
+                        rows, size = [], 0
+                if rows:
+                    yield _rows(rows)
+        if stream:
+            stream.close()
+
+    blocks = files.select("path", "before", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    total = files.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    tasks = min(total, max(8 * spark.sparkContext.defaultParallelism, -(-total // TASK_BLOCKS)))
+    return blocks.repartitionByRange(max(1, tasks), "before", "block").sortWithinPartitions("before", "block").mapInArrow(run, ROWS)
 
 
 def _rows(rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:

@@ -70,5 +70,25 @@ def test_odd_rows(spark):
         files = t.write_ids(docs, t.fresh_dir(spark, "test"), WORDS, **kw)
         got = sorted((tuple(r) for r in t.read_ids(spark, files).drop("ids").collect()), key=lambda r: r[1])
         assert got == [(None, 0, 2), (-4, 2, 1), (1, 3, 1), (3, 4, 2), (3, 6, 2), (3, 8, 3)]
-    assert t.write_ids(docs.limit(0), t.fresh_dir(spark, "test"), WORDS) == []
-    assert t.read_ids(spark, []).count() == 0
+    none = t.write_ids(docs.limit(0), t.fresh_dir(spark, "test"), WORDS)
+    assert none.count() == 0 and t.read_ids(spark, none).count() == 0
+
+
+def test_many_blocks_share_tasks_and_one_doc_id_spreads_over_files(spark, monkeypatch):
+    monkeypatch.setattr(t, "TASK_BLOCKS", 7)
+    rows = [(1, f"word {i} " * 20) for i in range(400)] + [(k, "x y z") for k in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small ranges are one task
+    try:
+        files = t.write_ids(docs, t.fresh_dir(spark, "test"), WORDS, file_tokens=500, block_tokens=40)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.where("before = 0").count() == 1 and len({r.path.split("-")[-2] for r in files.collect()}) > 1
+    blocks = files.agg({"blocks": "sum"}).first()[0]
+    read = t.read_ids(spark, files)
+    assert blocks > 200 and read.rdd.getNumPartitions() < blocks / 4
+    want = [(i, text) for i, text in sorted(rows)]
+    got = sorted(read.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    ids = [x + b"\1\0\0\0" for x in plain(WORDS, [x for _, x in want])]
+    assert [bytes(r.ids) for r in got] == ids and [r.start for r in got] == [sum(len(x) // 4 for x in ids[:k]) for k in range(len(ids))]
