@@ -9,7 +9,9 @@ filter counts shared q-grams by document, item and band, and loses no region; ba
 bound are verified by an alignment restricted to the band.
 
 The q-gram index of a block of items goes to every task; items are taken in blocks of at most
-``block_chars`` characters, which bounds the index.  Documents stay where they are: no shuffle.
+``block_chars`` characters, which bounds the index.  Documents stay where they are: no shuffle.  Of
+several blocks one index is alive at a time: what a block but the last finds, which is small beside the
+documents, is written to shared storage, and its index destroyed before the next is built.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.arrowtext import bounded, slices, utf8_parts
+from siftwell.llm.storage import written
 
 Q = 12
 RATE = 0.05
@@ -232,17 +235,34 @@ def find_matches(index: Index, array: np.ndarray, ends: np.ndarray) -> list[tupl
     return found
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of bounded size, fetched one after another."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The items in blocks of bounded size, fetched one after another, and whether it is the last."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         if block and size + len(r.text) > block_chars:
-            yield block
+            yield block, False
             block, size = [], 0
         block.append((r.item_id, r.text))
         size += len(r.text)
     if block:
-        yield block
+        yield block, True
+
+
+def _matched(docs: DataFrame, index, marked: bool = False) -> DataFrame:
+    """``MATCHES`` of ``docs`` (doc_id, text) with one broadcast index; if ``marked`` with a column
+    ``mark`` in front, a hash of the text."""
+    names = ["mark", "doc_id"] if marked else ["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                rows = find_matches(index.value, *utf8_parts(part.column("text")))
+                own = [part.column(c).take(pa.array([r[0] for r in rows], pa.int64())) for c in names]
+                rest = [pa.array([r[k] for r in rows], pa.int32() if k == 4 else pa.int64()) for k in range(1, 6)]
+                yield pa.RecordBatch.from_arrays([*own, *rest], names=[*names, "item_id", "start", "end", "edits", "shared"])
+
+    rows = docs.select(F.xxhash64("text").alias("mark"), "doc_id", "text") if marked else docs.select("doc_id", "text")
+    return bounded(rows).mapInArrow(run, ("mark long, " if marked else "") + MATCHES)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -255,37 +275,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float =
     """
     spark = docs.sparkSession
     found = []
-    for block in _blocks(benchmark, block_chars):
+    for block, last in _blocks(benchmark, block_chars):
         index = spark.sparkContext.broadcast(build_index(block, q, rate))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text", 2 << 20):
-                    rows = find_matches(index.value, *utf8_parts(part.column("text")))
-                    doc_ids = part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-                    rest = [pa.array([r[k] for r in rows], pa.int32() if k == 4 else pa.int64()) for k in range(1, 6)]
-                    yield pa.RecordBatch.from_arrays([doc_ids, *rest], names=["doc_id", "item_id", "start", "end", "edits", "shared"])
-
-        found.append(bounded(docs.select("doc_id", "text")).mapInArrow(run, MATCHES))
-    if not found:
-        return spark.createDataFrame([], MATCHES)
-    return reduce(DataFrame.unionAll, found)
+        found.append(_matched(docs, index))
+        if not last:
+            found[-1] = written(found[-1], "leaks")
+            index.destroy()
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], MATCHES)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the rows in which a benchmark item leaks; all columns stay."""
+    """``docs`` without the rows in which a benchmark item leaks; all columns stay.
+
+    Blocks before the last leave a list of the leaking rows (doc_id and a hash of the text), which a
+    null-safe anti-join takes out; with one block there is no join."""
     spark = docs.sparkSession
-    for block in _blocks(benchmark, block_chars):
+    for block, last in _blocks(benchmark, block_chars):
         index = spark.sparkContext.broadcast(build_index(block, q, rate))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        if not last:
+            found = written(_matched(docs, index, marked=True).select(F.col("doc_id").alias("leak_id"), F.col("mark").alias("leak_mark")).distinct(), "leaks")
+            index.destroy()
+            whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_mark"))
+            same = F.col("own_id").eqNullSafe(F.col("leak_id")) & (F.col("own_mark") == F.col("leak_mark"))
+            docs = whole.join(found, same, "left_anti").select("row.*")
+            continue
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 2 << 20):
                     clean = np.ones(part.num_rows, bool)
                     clean[[r[0] for r in find_matches(index.value, *utf8_parts(part.column("text")))]] = False
                     yield part if clean.all() else part.filter(pa.array(clean))
 
-        docs = bounded(docs).mapInArrow(run, docs.schema)
+        return bounded(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -87,6 +87,63 @@ def test_matches_equal_brute_force(spark):
     assert d.matches(docs_df, items_df.limit(0)).count() == 0 and d.matches(docs_df.limit(0), items_df).count() == 0
 
 
+def most_alike(items, texts):
+    """Fewest edits of each item with any region of each text: all texts side by side, far apart."""
+    far, gap = np.uint32(0xFFFFFFFF), 64
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    flat = np.concatenate([x for p in points for x in (p, np.full(gap, far))])
+    ends = np.cumsum([len(p) + gap for p in points])
+    at = np.arange(len(flat) + 1, dtype=np.int32)
+    for item in items:
+        row = np.zeros(len(flat) + 1, np.int32)
+        for i, c in enumerate(np.frombuffer(item.encode("utf-32-le"), np.uint32), 1):
+            best = row + 1
+            best[1:] = np.minimum(best[1:], row[:-1] + (flat != c))
+            best[0] = i
+            row = np.minimum.accumulate(best - at) + at
+        yield [int(row[end - len(p) - gap : end - gap + 1].min()) for p, end in zip(points, ends)]
+
+
+def test_query_equals_brute_force_with_edits(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, normal(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, normal(r.text.strip())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.item_id % 4 == 0]
+    want = {}
+    for (item_id, item), edits in zip(items, most_alike([x for _, x in items], [t for _, t in docs])):
+        budget = min(int(d.RATE * len(item) + 1e-9), (len(item) - d.Q) // d.Q)
+        want |= {(doc_id, item_id): e for (doc_id, _), e in zip(docs, edits) if e <= budget}
+    got = {}
+    for r in d.op4_decontamination(spark, sf).where("item_id % 4 = 0").collect():
+        got[r.doc_id, r.item_id] = min(r.edits, got.get((r.doc_id, r.item_id), 99))
+    assert want and got == want
+
+
+def test_one_index_is_alive_at_a_time(spark, monkeypatch):
+    docs, items = fixture()
+    docs_df = spark.createDataFrame([(*x, 1, 2, 3) for x in docs], "doc_id long, text string, row int, leak_id int, own_mark int")
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    alive, most, made = [0], [0], [0]
+    real = spark.sparkContext.broadcast
+
+    def broadcast(value):
+        out, destroy = real(value), None
+        if isinstance(value, d.Index):
+            alive[0], made[0] = alive[0] + 1, made[0] + 1
+            most[0] = max(most[0], alive[0])
+            destroy = out.destroy
+            out.destroy = lambda *a: (alive.__setitem__(0, alive[0] - 1), destroy(*a))
+        return out
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    rows = d.matches(docs_df, items_df, block_chars=150)
+    assert made[0] > 5 and most[0] == 1
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, d.matches(docs_df, items_df).collect()), key=str)
+    many, one = (d.remove_leaks(docs_df, items_df, block_chars=n) for n in (150, 1 << 20))
+    assert many.columns == docs_df.columns and sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+
+
 def test_hashes_of_every_width_tell_grams_apart():
     points = d.points_of("abcabcabdé" * 5)
     for q in range(1, 20):
