@@ -35,10 +35,12 @@ RULES = (
     Rule("repeated_lines", 3, "n_lines >= 4 AND 10 * n_dup_lines > 5 * n_lines"),
     Rule("short_words", 4, "n_words > 0 AND word_chars < 2 * n_words"),
     Rule("long_words", 5, "word_chars > 20 * n_words"),
+    # the published limit of one symbol in ten words; what is labelled good lies far below, bad far above
+    Rule("symbol_share", 6, "10 * n_symbols > n_words"),
 )
 BASE = ("few_words", "repeated_windows")
 #: Policy version -> names of the rules that reject a document.
-POLICIES = {"base": BASE, "2": tuple(r.name for r in RULES)}
+POLICIES = {"base": BASE, "2": tuple(r.name for r in RULES if r.bit < 6), "3": tuple(r.name for r in RULES)}
 
 
 def mask(names: tuple[str, ...] | list[str]) -> int:
@@ -153,7 +155,29 @@ def ablations(ledger: DataFrame, policy: str) -> DataFrame:
     return rows.groupBy("rule").agg(F.sum(failed).alias("failed"), F.sum(only).alias("only"))
 
 
-QUERY_POLICY = "2"
+def error_rates(ledger: DataFrame, labels: DataFrame) -> DataFrame:
+    """(policy, good, good_rejected, bad, bad_kept): how every policy version judges the documents
+    that ``labels`` (doc_id, quality: 1 good, 0 bad) names; others, and null labels, do not count."""
+    known = ledger.select("doc_id", "failure_bits").join(labels.select("doc_id", "quality"), "doc_id")
+    groups = known.groupBy("quality", "failure_bits").count()
+    masks = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(mask(names)).cast("long").alias("mask")) for p, names in POLICIES.items()]))
+    rows = groups.select("quality", "failure_bits", "count", masks.alias("p")).withColumn("rejected", F.col("failure_bits").bitwiseAND(F.col("p.mask")) != 0)
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("count"))), F.lit(0))
+    good, bad, out = F.col("quality") == 1, F.col("quality") == 0, F.col("rejected")
+    sums = {"good": good, "good_rejected": good & out, "bad": bad, "bad_kept": bad & ~out}
+    return rows.groupBy(F.col("p.policy").alias("policy")).agg(*[total(c).alias(n) for n, c in sums.items()])
+
+
+QUERY_POLICY = "3"
+
+
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    return ablations(build_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), QUERY_POLICY)
+
+
+def quality_errors(spark, sf_dir: str) -> DataFrame:
+    ledger = build_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return error_rates(ledger, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -181,3 +205,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failure_bits = 0 AS kept, failure_bits
 FROM ledger
 """
+_RULES = ", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES)
+ABLATIONS_SQL = f"""
+WITH source AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), {LEDGER_SQL}
+SELECT rule, count_if(failure_bits & bit <> 0)::BIGINT AS failed, count_if(failure_bits = bit)::BIGINT AS "only"
+FROM ledger, (VALUES {_RULES}) r(rule, bit) GROUP BY rule
+"""
+_MASKS = ", ".join(f"('{p}', {mask(names)})" for p, names in POLICIES.items())
+ERRORS_SQL = f"""
+WITH source AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), {LEDGER_SQL}
+SELECT policy, count_if(quality = 1)::BIGINT AS good, count_if(quality = 1 AND failure_bits & mask <> 0)::BIGINT AS good_rejected,
+  count_if(quality = 0)::BIGINT AS bad, count_if(quality = 0 AND failure_bits & mask = 0)::BIGINT AS bad_kept
+FROM ledger JOIN labels USING (doc_id), (VALUES {_MASKS}) p(policy, mask) GROUP BY policy
+"""

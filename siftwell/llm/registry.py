@@ -12,6 +12,8 @@ QUERIES = {
     "op7_token_file": tokenfile.op7_token_file,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "quality_ablations": quality.quality_ablations,
+    "quality_errors": quality.quality_errors,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_exact_dedup": exactdedup.op11_exact_dedup,
     "op12_centroid_clusters": centroids.op12_centroid_clusters,
@@ -24,6 +26,8 @@ ORACLE_SQL = {
     "op1_url_filter": urlfilter.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
+    "quality_errors": quality.ERRORS_SQL,
     "op11_exact_dedup": exactdedup.OP11_SQL,
     "op12_centroid_clusters": centroids.OP12_SQL,
 }

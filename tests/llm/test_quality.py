@@ -28,11 +28,23 @@ def test_policies_and_ablations(spark):
     rows = spark.createDataFrame([(1, "good words here now " * 3), (2, "## " * 60), (3, " ".join(f"w{i}" for i in range(80))), (4, None)], "doc_id long, text string")
     ledger = quality.build_ledger(rows)
     kept = {p: {r.doc_id for r in quality.apply_policy(ledger, p).where("kept").collect()} for p in quality.POLICIES}
-    assert kept == {"base": {3}, "2": {3}}
+    assert kept == {"base": {3}, "2": {3}, "3": {3}}
     got = {r.rule: (r.failed, r.only) for r in quality.ablations(ledger, "2").collect()}
     assert got["few_words"] == (2, 1) and got["repeated_windows"] == (2, 0) and got["many_symbols"] == (1, 0)
     assert sum(quality.mask([r.name]) for r in quality.RULES) == 2 ** len(quality.RULES) - 1
 
 
 def test_query_equals_sql(spark):
-    compare(quality.op9_quality_rules(spark, "/root/testdata/sf0.001"), quality.OP9_SQL, "/root/testdata/sf0.001")
+    sf = "/root/testdata/sf0.001"
+    compare(quality.op9_quality_rules(spark, sf), quality.OP9_SQL, sf)
+    compare(quality.quality_ablations(spark, sf), quality.ABLATIONS_SQL, sf)
+    compare(quality.quality_errors(spark, sf), quality.ERRORS_SQL, sf)
+
+
+def test_error_rates_of_every_policy(spark):
+    good, symbols = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i} #" if i % 3 == 0 else f"w{i}" for i in range(80))
+    rows = [(1, good), (2, symbols), (3, "few"), (4, good), (5, symbols), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 9), (2, 0, 9), (3, 1, 9), (4, 0, 9), (5, None, 9), (7, 1, 9)], "doc_id long, quality int, failure_bits int")
+    got = {r.policy: (r.good, r.good_rejected, r.bad, r.bad_kept) for r in quality.error_rates(quality.build_ledger(docs), labels).collect()}
+    assert got == {"base": (2, 1, 2, 2), "2": (2, 1, 2, 2), "3": (2, 1, 2, 1)}
