@@ -174,6 +174,18 @@ def repeated_requests(spark, sf_dir):
     return done.groupBy("url", "markdown", "cached").agg(F.count("*").alias("rows"))
 
 
+@query(
+    """WITH r AS (SELECT 1 + (page_id % 3) AS n FROM pages)
+SELECT i > 1 AS cached, count(*) AS rows, count_if(i = 1) AS timed FROM r, unnest(range(1, n + 1)) u(i) GROUP BY i > 1"""
+)
+def request_times(spark, sf_dir):
+    """What was computed took measured time, what came from another request none."""
+    pages = table(spark, sf_dir, "pages")
+    asked = pages.select("url", F.lit("").alias("query"), F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("page_id") % 3)).alias("i"))
+    done = prune_requests(pages.select("url", "html"), asked)
+    return done.groupBy("cached").agg(F.count("*").alias("rows"), F.count_if(F.col("parse_ms") > 0).alias("timed"))
+
+
 # -- synthetic HTML -------------------------------------------------------------------------------
 
 LINES = "documents, unnest(string_split(text, chr(10))) WITH ORDINALITY u(line, i)"
