@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.arrowtext import bounded, slices, utf8_values
+from siftwell.llm.arrowtext import bounded, give_back, slices, utf8_values
 from siftwell.llm.wordhash import LANE_BASES, runs, windows, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -243,6 +243,8 @@ def checked_links(table: pa.Table, similarity: float) -> pa.Table:
                 found.append((key[i], key[k]))
                 label[label == label[k]] = label[i]
     links = np.array(found, np.int64).reshape(-1, 2)
+    del rows, sets, values
+    give_back()
     return link_table(links[:, 0].copy(), links[:, 1].copy())
 
 

@@ -40,7 +40,8 @@ class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes, as the library
     does with ``add_special_tokens=False``: none is added, those written in a text are found."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+        self.cache_chunks = cache_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,7 +133,7 @@ class ChunkEncoder:
         return raw.translate(_LATIN_LOWER).decode("latin-1").split()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
+        if len(self.cache) > self.cache_chunks:
             self.cache.clear()
         flat: list[str] = []
         ends = [0]
@@ -182,10 +183,11 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder of a vocabulary file."""
+def encoder(path: str, cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
+    """The worker's encoder of a vocabulary file, which keeps about ``cache_chunks`` chunks from now on."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
+    _encoders[path].cache_chunks = cache_chunks
     return _encoders[path]
 
 
