@@ -35,7 +35,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id pieces of all documents in sequences of 2048."""
-    return packing.pack(docs, default_path("byte_bpe_50k.json"))
+    # fewer chunks are kept than by the operator alone, beside what earlier stages hold in memory
+    return packing.pack(docs, default_path("byte_bpe_50k.json"), cache_chunks=1 << 19)
 
 
 STAGES = [
