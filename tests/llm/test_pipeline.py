@@ -20,7 +20,7 @@ def test_stages_equal_brute_force(spark):
     kept = set()
     for r in rows.values():
         n, chars, symbols, lines, dups, repeats = test_quality.brute(r.text)
-        bad = n < 50 or 100 * repeats > 50 * n or symbols > n or lines >= 4 and 10 * dups > 5 * lines or n and chars < 2 * n or chars > 20 * n
+        bad = n < 50 or 100 * repeats > 50 * n or 10 * symbols > n or lines >= 4 and 10 * dups > 5 * lines or n and chars < 2 * n or chars > 20 * n
         kept |= set() if bad else {r.doc_id}
     assert frame.columns == names and {r.doc_id for r in frame.collect()} == kept < set(rows)
 
