@@ -30,12 +30,13 @@ def markdown_of(pages: DataFrame, url: str, query: str = "") -> DataFrame:
     return load_one(pages, url, query).select(F.col("page_content").alias("markdown"))
 
 
-def asked_for(urls: DataFrame, pages: DataFrame, ignore_errors: bool) -> DataFrame:
+def asked_for(urls: DataFrame, pages: DataFrame, ignore_errors: bool, key: str = "url") -> DataFrame:
     """``urls`` with html, fetch_error and fetch_ms of their pages; unless errors are ignored, one
-    without a page stays with an error.  Other columns of ``pages`` are not read."""
+    without a page stays with an error.  Other columns of ``pages`` are not read but ``key``, which both
+    tables have and which tells pages of one URL apart."""
     own = {c: F.col("page")[c] for c in page_columns(pages) if c != "url"}
-    known = pages.select("url", F.struct(*[c for c in own]).alias("page"))
-    found = urls.join(known, "url", "inner" if ignore_errors else "left")
+    known = pages.select(key, F.struct(*[c for c in own]).alias("page"))
+    found = urls.join(known, key, "inner" if ignore_errors else "left")
     error = F.when(F.col("page").isNull(), F.concat(F.lit("No such page: "), "url")).otherwise(own.pop("fetch_error", F.lit(None)))
     return found.select(*urls.columns, *[x.alias(c) for c, x in own.items()], error.alias("fetch_error"))
 
@@ -56,10 +57,12 @@ def load_urls(urls: DataFrame, query: str = "", *, policy: Policy | None = None,
     return documents(checked(prune(pages, query), ignore_errors))
 
 
-def retrieve(pages: DataFrame, urls: DataFrame, query: str, *, query_as_bm25: bool = True, ignore_errors: bool = True) -> DataFrame:
+def retrieve(pages: DataFrame, urls: DataFrame, query: str, *, query_as_bm25: bool = True, ignore_errors: bool = True, key: str = "url") -> DataFrame:
     """Documents of listed URLs (ord, url) with ``ord``, to be read in its order.  The query selects
-    sections only if ``query_as_bm25``; all pages come back, there is no ranking across pages."""
-    found = prune(asked_for(urls.select("ord", "url"), pages, ignore_errors), query if query_as_bm25 else "", keep=("ord",))
+    sections only if ``query_as_bm25``; all pages come back, there is no ranking across pages.  Where
+    several pages share a URL, ``key`` names a column of both tables that tells them apart."""
+    listed = urls.select(*dict.fromkeys(("ord", "url", key)))
+    found = prune(asked_for(listed, pages, ignore_errors, key), query if query_as_bm25 else "", keep=("ord",))
     return documents(checked(found, ignore_errors), "ord").orderBy("ord")
 
 
