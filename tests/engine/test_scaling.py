@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell import queries
 from siftwell.functions.html import page, parse
 from siftwell.operators import bm25, extract
 from siftwell.plans.prune import checked, parsed, prune
@@ -115,3 +116,41 @@ def test_scores_read_words_once_whatever_the_number_of_terms(spark):
     cost(2)
     few, many = min(cost(3), cost(3)), min(cost(48), cost(48))
     assert many < 6 * few
+
+
+def test_nodes_of_tables_that_no_array_holds_come_row_by_row(spark, tmp_path):
+    """Table rows never closed, whose texts come to 137 M characters: all of them are there."""
+    n, cell = 2_000, "words of a cell in é row, " + "x" * 40
+    html = "<body><p>A paragraph before the table</p><table>" + f"<tr><td>{cell}</td>" * n + "</table><p>A paragraph after it</p></body>"
+    spark.createDataFrame([(7, "u", html), (8, "v", "<body><p>Another page of one text</p></body>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert (n + 1) * n // 2 * (len(cell) + 3) > extract.MAX_TABLE_CHARS
+    found = queries.QUERIES["l1_nodes"](spark, str(tmp_path)).select("page_id", "pos", "tag", F.length("text").alias("chars"), F.xxhash64("text").alias("h")).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.tag) for r in found] == [(7, 0, "p"), *((7, k + 1, "table_row") for k in range(n)), (7, n + 1, "p"), (8, 0, "p")]
+    assert [r.chars for r in found[1:-2]] == [(n - k) * len(cell) + (n - k - 1) * 3 for k in range(n)]
+    assert found[n].h == spark.range(1).select(F.xxhash64(F.lit(cell))).first()[0]
+
+
+def test_rows_made_one_by_one_equal_the_model(spark, monkeypatch):
+    rng = random.Random(12)
+    cases = ["<body><p>A text of its own</p><table><tr><th>Ä<th>B<tr><td>1<td>2</table><table><tr><td>3</td><td> </td></tr><tr><td></td></tr></table></body>"]
+    cases += [random_table(rng) for _ in range(200)]
+    table = parsed(spark.createDataFrame(list(enumerate(cases)), "tables int, html string"))
+    whole = table.select("tables", F.inline(extract.l1_nodes(F.col("dom.elements")))).collect()
+    monkeypatch.setattr(extract, "MAX_TABLE_CHARS", 20)
+    rows = extract.node_rows(table, "tables")
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, whole)) and len({r.tables for r in whole}) < len(cases)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for k in range(len(cases)):
+        got = [(r.text, r.cells, r.is_header) for r in whole if r.tables == k and r.tag == "table_row"]
+        assert got == model_rows(cases[k])
+    sizes = table.select(F.explode(F.get("dom.elements", F.lit(0))["tables"]["rows"]).alias("r")).select("r.bytes")
+    assert sorted(r.bytes for r in sizes.collect()) == sorted(len(r[0].encode()) for c in cases for r in every_row(c))
+    monkeypatch.setattr(extract, "MAX_ROW_BYTES", 40)
+    with pytest.raises(Exception, match="more text than a string can hold"):
+        extract.node_rows(table, "tables").collect()
+
+
+def every_row(html):
+    tree = parse(html)
+    rows = [[tree.text(c) for c in tree.below(tr) if c.tag in ("td", "th")] for tr in tree.elements if tr.tag == "tr"]
+    return [(" | ".join(cells),) for cells in rows if any(cells)] if any(e.tag == "table" for e in tree.elements) else []
